@@ -203,8 +203,8 @@ def compare_columns(left_level: Column, right_level: Column, left_score: Column,
         .when(both_scores, "level_and_score_available")
         .otherwise("level_only_available"),
         "same_level": (distance == 0).cast("int"),
-        "exact_score": F.when(distance.isNotNull(), (left_score == right_score).cast("int")),
-        "abs_score_error": F.when(distance.isNotNull(), F.abs(left_score - right_score)),
+        "exact_score": (F.round(left_score.cast("double"), 12) == F.round(right_score.cast("double"), 12)).cast("int"),
+        "abs_score_error": F.abs(left_score.cast("double") - right_score.cast("double")),
         "level_distance": distance,
         "off_by_one": (distance == 1).cast("int"),
         "severe": (distance == 2).cast("int"),

@@ -171,3 +171,20 @@ def qc_profile(df: DataFrame, keys: Sequence[str], subject: str, null_columns: S
 
 def rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
+
+
+def json_set_union(column: str, limit_to: Sequence[str] | None = None) -> Column:
+    """Aggregate: sorted distinct items of JSON lists. The items are a fixed vocabulary (table names, tags)."""
+    items = F.from_json(F.col(column), "array<string>")
+    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_set(items))))
+    return F.filter(merged, lambda x: x.isin(*limit_to)) if limit_to else merged
+
+
+def top_row_summary(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str], score: str,
+                    flagged: Column, encounter: str) -> DataFrame:
+    """The top row of each key with its score, the flagged rows and the distinct encounters."""
+    from medgrain.operators.skew import first_per_key
+
+    return first_per_key(
+        df, keys, order, payload, top=F.max(score), flagged=count_if(flagged), encounters=F.count_distinct(encounter)
+    )

@@ -43,9 +43,9 @@ def ordinal_summary(df: DataFrame, left_level: str, right_level: str, left_score
         count_if(distance == 2).alias("severe_count"), *confusion_columns(left, right).values(),
     ]
     if left_score and right_score:
-        error = F.when(distance.isNotNull(), F.abs(F.col(left_score) - F.col(right_score)))
+        error = F.abs(F.col(left_score).cast("double") - F.col(right_score).cast("double"))
         aggs += [
-            F.count(error).alias("comparable_score_rows"), count_if(error == 0).alias("exact_score_count"),
+            F.count(error).alias("comparable_score_rows"), count_if(F.round(error, 12) == 0).alias("exact_score_count"),
             (F.sum(error.cast("decimal(28,6)")).cast("double") / F.count(error)).alias("mean_abs_score_error"),
             F.percentile(error, 0.5).alias("median_abs_score_error"),
         ]

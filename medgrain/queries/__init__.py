@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills the registry."""
 
-from medgrain.queries import filters  # noqa: F401
+from medgrain.queries import aggregates, filters, joins  # noqa: F401
 from medgrain.queries.registry import REGISTRY  # noqa: F401
