@@ -131,3 +131,7 @@ def key_difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     lost = a.join(b, list(keys), "left_anti").withColumn("side", F.lit("left_only"))
     extra = b.join(a, list(keys), "left_anti").withColumn("side", F.lit("right_only"))
     return lost.unionByName(extra)
+
+
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*keys).distinct()
