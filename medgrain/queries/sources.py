@@ -60,7 +60,8 @@ def src_lenient_cast(t):
     return raw.cast_columns(e, spec)
 
 
-@query("src_lineage", "o_orderkey:l source_dataset:s source_table:s has_file:i has_size:i run_id:s")
+@query("src_lineage", "o_orderkey:l source_dataset:s source_table:s has_file:i has_size:i run_id:s", """
+SELECT o_orderkey, 'clinical' AS source_dataset, 'orders' AS source_table, 1 AS has_file, 1 AS has_size, 'run-1' AS run_id FROM orders""")
 def src_lineage(t):
     path = raw.locate(t.spark, ORDERS, _orders_csv(t))
     df = raw.standardize(t.spark, ORDERS, path, "run-1")
@@ -69,7 +70,9 @@ def src_lineage(t):
                      c("_ingestion_run_id").alias("run_id"))
 
 
-@query("src_discovery", "dataset:s table:s status:s n_missing:i")
+@query("src_discovery", "dataset:s table:s status:s n_missing:i", """
+SELECT 'clinical' AS dataset, 'orders' AS "table", 'found' AS status, 0 AS n_missing UNION ALL SELECT 'clinical', 'lineitem', 'found', 0
+UNION ALL SELECT 'ed', 'absent', 'missing_optional', 0""")
 def src_discovery(t):
     root = _orders_csv(t)
     artifacts.write_csv(t.lineitem, f"{root}/hosp/lineitem.csv")
