@@ -111,12 +111,12 @@ def class_labels(df: DataFrame, label: str, dictionary: DataFrame, out: str = "c
 
     Labels repeat, so the dictionary join runs on the distinct labels only.
     """
-    labels = df.select(F.col(label).alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    labels = df.select(F.col(label).alias("_cl_label")).where(F.col("_cl_label").isNotNull()).distinct()
     hits = (
-        labels.select("_label", F.explode(label_candidates(F.col("_label"))).alias("ingredient"))
+        labels.select("_cl_label", F.explode(label_candidates(F.col("_cl_label"))).alias("ingredient"))
         .join(dictionary, "ingredient")
-        .groupBy("_label")
+        .groupBy("_cl_label")
         .agg(F.array_join(F.array_sort(F.collect_set("class_label")), "|").alias(out))
     )
-    joined = df.join(hits, F.col(label) == F.col("_label"), "left").drop("_label")
+    joined = df.join(hits, F.col(label) == F.col("_cl_label"), "left").drop("_cl_label")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit("unresolved")))

@@ -135,7 +135,7 @@ state AS (SELECT any_value(subject_id) AS subject_id, encounter_id, std, any_val
   CASE WHEN std IN ('fentanyl', 'omeprazole') THEN CASE WHEN max((med <> 'large')::INT) = 1 THEN 'resolved_to_ingredient' ELSE 'resolved_via_related_concept' END ELSE 'unresolved_no_match' END AS ing,
   CASE WHEN max((med = 'promo')::INT) = 1 THEN 'high' WHEN std IN ('fentanyl', 'omeprazole') THEN 'medium' ELSE 'none' END AS conf,
   greatest(CASE WHEN std = 'economy' THEN 0 ELSE 1 END, count(DISTINCT med)) AS cand_n, max(continued) AS cont, 1 - min(continued) AS started,
-  max((kind = 'home_medrecon')::INT) AS home, arg_min(route, {PICK}) AS route0 FROM sa GROUP BY encounter_id, std)"""
+  max((kind = 'home_medrecon')::INT) AS home, nullif(arg_min(coalesce(route, '?'), {PICK}), '?') AS route0 FROM sa GROUP BY encounter_id, std)"""
 
 
 def state_of(t):
@@ -248,8 +248,8 @@ WITH {ENC}, {EV}, {LABS}, {DX_SQL},
 co AS (SELECT ev.subject_id, ev.hadm_id, med, CASE med WHEN 'small' THEN 'Morphine' WHEN 'promo' THEN 'Omeprazole 20' WHEN 'large' THEN 'haloperidol' ELSE med END AS drug, min(starttime) AS a, max(stoptime) AS b,
   max(ev.dischtime) AS fin, max(age_proxy) AS age, max(sex) AS sex, max((kind = 'hospital_order')::INT) AS cur FROM ev JOIN enc ON ev.encounter_id = enc.encounter_id GROUP BY 1, 2, 3, 4),
 r AS (SELECT * FROM co WHERE cur = 1), h AS (SELECT hadm_id, count(*) AS n_hist FROM co GROUP BY 1), n AS (SELECT hadm_id, count(*) AS n_cur FROM r GROUP BY 1),
-pk AS (SELECT hadm_id, max(q) AS peak FROM (SELECT x.hadm_id, x.med, count(*) AS q FROM r x JOIN r y ON x.hadm_id = y.hadm_id AND y.a <= x.a AND coalesce(y.b, y.fin) >= x.a GROUP BY 1, 2) GROUP BY 1),
-pk2 AS (SELECT hadm_id, greatest(max(peak), 1) AS peak FROM pk GROUP BY 1),
+ev2 AS (SELECT hadm_id, a AS tm, 1 AS d, 0 AS o FROM r UNION ALL SELECT hadm_id, coalesce(b, fin), -1, 1 FROM r),
+pk2 AS (SELECT hadm_id, greatest(max(q), 0) AS peak FROM (SELECT hadm_id, sum(d) OVER (PARTITION BY hadm_id ORDER BY tm, o ROWS UNBOUNDED PRECEDING) AS q FROM ev2) GROUP BY 1),
 f AS (SELECT k AS hadm_id, {DX_FLAGS} FROM dx WHERE ward <> 'P' GROUP BY 1),
 c1 AS (SELECT hadm_id, arg_min(valuenum, (charttime, valuenum)) AS c_first, arg_max(valuenum, (charttime, valuenum)) AS c_last, max(valuenum) AS c_max FROM labs WHERE itemid = 0 GROUP BY 1),
 c2 AS (SELECT hadm_id, max(valuenum) AS k_max FROM labs WHERE itemid = 1 GROUP BY 1), c3 AS (SELECT hadm_id, max(valuenum) AS na_max FROM labs WHERE itemid = 2 GROUP BY 1),
@@ -291,8 +291,8 @@ om AS (SELECT o_custkey AS subject_id, o_orderdate AS d, left(o_orderpriority, 1
   WHEN '3' THEN CASE WHEN o_custkey % 7 > 0 THEN o_custkey % 15 + 20 END END AS v FROM orders),
 ms AS (SELECT sn.encounter_id, max(v) FILTER (p = '1') AS lbs, max(v) FILTER (p = '2') AS hin, max(v) FILTER (p = '3') AS bmi0 FROM sn LEFT JOIN om ON sn.subject_id = om.subject_id AND d <= rev GROUP BY 1),
 cr AS (SELECT sn.encounter_id, arg_max(valuenum, (charttime, valuenum)) AS cr FROM sn JOIN labs ON sn.hadm_id = labs.hadm_id AND itemid = 0 AND charttime <= rev GROUP BY 1),
-pa AS (SELECT sn.encounter_id, count(o_orderkey) FILTER (o_orderstatus <> 'P') AS na, count(o_orderkey) FILTER (o_orderstatus <> 'P' AND o_orderdate >= rev - INTERVAL 365 DAY) AS na365,
-  count(o_orderkey) FILTER (o_orderstatus <> 'O' AND o_orderdate - INTERVAL 1 DAY < rev) AS ne FROM sn LEFT JOIN orders ON o_custkey = subject_id AND o_orderdate < rev GROUP BY 1),
+pa AS (SELECT sn.encounter_id, count(o_orderkey) FILTER (o_orderstatus <> 'P' AND o_orderdate < rev) AS na, count(o_orderkey) FILTER (o_orderstatus <> 'P' AND o_orderdate < rev AND o_orderdate >= rev - INTERVAL 365 DAY) AS na365,
+  count(o_orderkey) FILTER (o_orderstatus <> 'O' AND o_orderdate - INTERVAL 1 DAY < rev) AS ne FROM sn LEFT JOIN orders ON o_custkey = subject_id AND o_orderdate < rev + INTERVAL 1 DAY GROUP BY 1),
 df AS (SELECT subject_id, k, {DX_FLAGS} FROM dx WHERE ward <> 'P' GROUP BY 1, 2), dd AS (SELECT df.*, o_orderdate + INTERVAL 30 DAY AS fin FROM df JOIN orders ON k = o_orderkey),
 pd AS (SELECT sn.encounter_id, coalesce(max(ckd), 0) AS p_ckd, coalesce(max(greatest(dem, del)), 0) AS p_cog, max(fin) AS p_end FROM sn LEFT JOIN dd ON sn.subject_id = dd.subject_id AND fin < rev GROUP BY 1),
 ef AS (SELECT k, {DX_FLAGS} FROM dx WHERE ward <> 'O' GROUP BY 1),
