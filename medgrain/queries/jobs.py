@@ -9,7 +9,7 @@ from medgrain.plans import dataset as ds
 from medgrain.plans import encounters, events, features, labels, mapping, review, reviews, scores, semantics
 from medgrain.queries import clinic
 from medgrain.queries.aggregates import ACTION_SQL, HARM_SQL, STATUS_SQL, action_events, action_rows, clinical
-from medgrain.queries.clinic import LAB_SQL, LINES, SCOPE, VITAL_SQL
+from medgrain.queries.clinic import LAB_ROWS, LINES, SCOPE, VITAL_SQL
 from medgrain.queries.filters import ACTIVE_SQL
 from medgrain.queries.registry import ENC, EV, LABS, query
 from medgrain.queries.windows import QUEUE, review_queue
@@ -327,7 +327,7 @@ def _family_sql(f: str) -> str:
             f"max(charttime) FILTER (fam = '{f}') AS {f}_t")
 
 
-TEMPORAL_SQL = f"""{LAB_SQL}, {VITAL_SQL},
+TEMPORAL_SQL = f"""{LAB_ROWS}, {VITAL_SQL},
 tl AS (SELECT sn.encounter_id, {_family_sql("creatinine")}, {_family_sql("sodium")}, max(charttime) AS lab_end FROM sn LEFT JOIN lb ON sn.hadm_id = lb.hadm_id AND charttime <= rev GROUP BY 1),
 tv AS (SELECT sn.encounter_id, count(sbp) AS sbp_n, min(sbp) AS sbp_min, max(heart_rate) AS hr_max, count(pain) AS pain_n, max(ct) AS v_end FROM sn LEFT JOIN vt ON sn.stay_id = vt.stay_id AND ct <= rev GROUP BY 1),
 tf AS (SELECT tl.*, sbp_n, sbp_min, hr_max, pain_n, greatest(lab_end, v_end) AS w_end, round(creatinine_last - creatinine_first, 3) AS dl FROM tl JOIN tv ON tl.encounter_id = tv.encounter_id)"""
@@ -338,7 +338,7 @@ def temporal_of(t):
 
 
 @query("job_temporal", "encounter_id:s cr_n:l cr_max:d cr_first:d cr_last:d cr_t:s trend:s na_n:l na_last:d sbp_n:l sbp_min:d hr_max:d pain_n:l w_end:s safe:i", f"""
-WITH {CONTEXT_SQL.replace(LABS + ",", "")}, {TEMPORAL_SQL} SELECT encounter_id, creatinine_n AS cr_n, creatinine_max AS cr_max, creatinine_first AS cr_first, creatinine_last AS cr_last, creatinine_t AS cr_t,
+WITH {CONTEXT_SQL}, {TEMPORAL_SQL} SELECT encounter_id, creatinine_n AS cr_n, creatinine_max AS cr_max, creatinine_first AS cr_first, creatinine_last AS cr_last, creatinine_t AS cr_t,
   CASE WHEN dl IS NULL THEN 'unavailable' WHEN dl >= 0.3 THEN 'rising' WHEN dl <= -0.3 THEN 'falling' ELSE 'stable' END AS trend, sodium_n AS na_n, sodium_last AS na_last, sbp_n, sbp_min, hr_max, pain_n, w_end, 1 AS safe FROM tf""")
 def job_temporal(t):
     x = temporal_of(t)
@@ -351,7 +351,7 @@ def job_temporal(t):
 
 
 @query("job_feature_store", "encounter_id:s med:s kg:d na:l cr_last:d sbp_min:d ok:i miss_bmi:i miss_cr:i miss_bp:i", f"""
-WITH {CONTEXT_SQL.replace(LABS + ",", "")}, {TEMPORAL_SQL}, md AS (SELECT DISTINCT 'hadm:' || l_orderkey AS encounter_id, lower(p_type) AS med FROM lineitem JOIN part ON l_partkey = p_partkey)
+WITH {CONTEXT_SQL}, {TEMPORAL_SQL}, md AS (SELECT DISTINCT 'hadm:' || l_orderkey AS encounter_id, lower(p_type) AS med FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT md.encounter_id, med, kg, na, creatinine_last AS cr_last, sbp_min, 1 AS ok, (bmi IS NULL)::INT AS miss_bmi, (creatinine_n = 0)::INT AS miss_cr, (sbp_n = 0)::INT AS miss_bp
 FROM md JOIN ctx ON md.encounter_id = ctx.encounter_id JOIN tf ON md.encounter_id = tf.encounter_id""")
 def job_feature_store(t):
@@ -444,9 +444,9 @@ WITH {QUEUE}, s AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 2 = 0 THEN CAS
   CASE o_orderkey % 4 WHEN 0 THEN 0.2 WHEN 1 THEN 0.35 WHEN 2 THEN 0.45 ELSE 0.65 END::DOUBLE AS ph, CASE o_custkey % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.4 ELSE 0.1 END::DOUBLE AS pm FROM orders),
 j AS (SELECT qq.*, ml, ph, pm, coalesce(lvl <> ml, false)::INT AS f1, (given IS NOT NULL AND qq.k % 10 = 0)::INT AS f2, (ml IN ('medium', 'high') AND abs(ph - pm) <= 0.18::DOUBLE)::INT AS f3 FROM qq JOIN s ON qq.k = s.k),
 sel AS (SELECT *, greatest(f1, f2, f3) AS sl FROM j), x AS (SELECT k, row_number() OVER (ORDER BY ph DESC, r3) AS nth FROM sel WHERE sl = 0 AND rev = 0 AND ml = 'high' AND ph >= 0.6),
-p AS (SELECT sel.*, CASE WHEN sl = 1 THEN 0 ELSE 1 END AS f4 FROM sel LEFT JOIN x ON sel.k = x.k WHERE sl = 1 OR nth <= 12000 - (SELECT sum(sl) FROM sel)),
+pq AS (SELECT sel.*, CASE WHEN sl = 1 THEN 0 ELSE 1 END AS f4 FROM sel LEFT JOIN x ON sel.k = x.k WHERE sl = 1 OR nth <= 12000 - (SELECT sum(sl) FROM sel)),
 r AS (SELECT *, CASE WHEN f1 + f2 + f3 + f4 > 1 THEN 'mixed_signal_candidate' WHEN f1 = 1 THEN 'model_rule_disagreement' WHEN f2 = 1 THEN 'uncertain_existing_review' WHEN f3 = 1 THEN 'medium_high_boundary' ELSE 'high_signal_unreviewed_fallback' END AS bb,
-  f1 * 400 + f2 * 320 + f3 * 240 + f4 * 160 + (1 - rev) * 20 AS bs FROM p),
+  f1 * 400 + f2 * 320 + f3 * 240 + f4 * 160 + (1 - rev) * 20 AS bs FROM pq),
 bl AS (SELECT *, row_number() OVER (ORDER BY bs DESC, rev, r1, r2, cr, sr, ph DESC, pm DESC, r3) AS br FROM r)"""
 
 
