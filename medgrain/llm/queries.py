@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from medgrain.llm import bin_packing, exact_dedup
+from medgrain.llm import bin_packing, byte_bpe, exact_dedup, token_files
 
 QUERIES = {
+    "op4_token_files": token_files.op4_token_files,
     "op7_bin_packing": bin_packing.op7_bin_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.ORACLE,
