@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,3 +73,38 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def ordered(df: DataFrame, order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``_index``, its row's place in the global ``order``, and ``_before_<c>``, the sum of ``c`` over all
+    earlier rows, for each long column ``c`` of ``sums``.
+
+    One range-partitioned sort; places and sums inside a partition are counted as its rows stream by, stored, and
+    raised by the totals of the partitions before it. The table of those totals has a row for each partition.
+    """
+    counted = [("_index", None), *[(f"_before_{c}", c) for c in sums]]
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()),
+                           *[T.StructField(n, T.LongType()) for n, _ in counted]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = dict.fromkeys([n for n, _ in counted], 0)
+        for b in batches:
+            arrays = list(b.columns)
+            for name, column in counted:
+                values = (np.ones(b.num_rows, np.int64) if column is None
+                          else b.column(b.schema.get_field_index(column)).to_numpy())
+                ends = total[name] + np.cumsum(values)
+                arrays.append(pa.array(ends - values))
+                total[name] = int(ends[-1]) if len(ends) else total[name]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, *[n for n, _ in counted]])
+
+    placed = df.repartitionByRange(*[F.col(c).asc() for c in order]).sortWithinPartitions(*order)
+    rows = stored(placed.withColumn("_part", F.spark_partition_id()).mapInArrow(run, schema), "ordered")
+    totals = rows.groupBy("_part").agg(
+        F.count("*").alias("_n"), *[F.sum(c).alias(f"_n_{c}") for c in sums])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_part", *[
+        F.coalesce(F.sum("_n" if c is None else f"_n_{c}").over(before), F.lit(0)).alias(f"_base{n}")
+        for n, c in counted])
+    joined = rows.join(F.broadcast(bases), "_part")
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_base{n}")).alias(n) for n, _ in counted])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from medgrain.llm import bin_packing, byte_bpe, exact_dedup, token_files
+from medgrain.llm import bin_packing, byte_bpe, chat_tree, exact_dedup, token_files
 
 QUERIES = {
+    "op2_chat_tree": chat_tree.op2_chat_tree,
     "op4_token_files": token_files.op4_token_files,
     "op7_bin_packing": bin_packing.op7_bin_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
