@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from medgrain.llm import bin_packing, byte_bpe, chat_tree, exact_dedup, token_files
+from medgrain.llm import bin_packing, byte_bpe, chat_tree, exact_dedup, mixing, order_minhash, token_files
 
 QUERIES = {
     "op2_chat_tree": chat_tree.op2_chat_tree,
+    "op3_order_minhash": order_minhash.op3_order_minhash,
     "op4_token_files": token_files.op4_token_files,
+    "op5_mixing": mixing.op5_mixing,
     "op7_bin_packing": bin_packing.op7_bin_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
