@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from medgrain.llm import bin_packing, byte_bpe, chat_tree, exact_dedup, mixing, order_minhash, token_files
+from medgrain.llm import bin_packing, byte_bpe, chat_tree, exact_dedup, language_id, mixing, order_minhash, token_files, toxicity
 
 QUERIES = {
     "op2_chat_tree": chat_tree.op2_chat_tree,
     "op3_order_minhash": order_minhash.op3_order_minhash,
     "op4_token_files": token_files.op4_token_files,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_bin_packing": bin_packing.op7_bin_packing,
+    "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
