@@ -59,10 +59,10 @@ class PieceEncoder:
     def plain(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], together: int = 100) -> None:
         """Encode unseen pieces, each with the space before it; a token that opens with a space starts a piece."""
-        for at in range(0, len(pieces), 1000):
-            some = pieces[at:at + 1000]
+        for at in range(0, len(pieces), together):
+            some = pieces[at:at + together]
             ids = np.array(self.plain([" " + " ".join(some)])[0], np.uint32)
             first = np.flatnonzero(self.opens[ids])
             if len(first) == len(some):
@@ -78,25 +78,31 @@ class PieceEncoder:
         """Number of ids of each text, and all ids."""
         if len(self.code) > self.max_pieces:
             self._clear()
-        cuts = [cut(t) for t in batch]
-        unseen = set()
-        for c in cuts:
-            if c:
-                unseen.update(c[1:])
-        self._learn(sorted(unseen.difference(self.code)))
-        heads = sorted({t if c is None else c[0] for t, c in zip(batch, cuts)})
-        head_ids = dict(zip(heads, self.plain(heads)))
-        sizes, values = np.concatenate(self.sizes), np.concatenate(self.parts)
-        self.sizes, self.parts = [sizes], [values]
-        starts = np.cumsum(sizes) - sizes
-        lengths, out = [], []
-        for text, c in zip(batch, cuts):
-            head = np.array(head_ids[text if c is None else c[0]], np.uint32)
-            rest = np.array(list(map(self.code.__getitem__, c[1:])) if c else [], np.int64)
-            ids = gather(rest, starts, sizes, values)
-            lengths.append(len(head) + len(ids))
-            out += [head, ids]
-        return np.array(lengths, np.int64), np.concatenate(out)
+        heads, rest, counts = [], [], []
+        for text in batch:
+            pieces = cut(text)
+            if pieces is None:
+                heads.append(text)
+                counts.append(1)
+            else:
+                heads.append(pieces[0])
+                counts.append(len(pieces))
+                rest += pieces[1:]
+        self._learn(list(set(rest).difference(self.code)))
+        whole = {h: i for i, h in enumerate(dict.fromkeys(heads))}
+        lists = self.plain(list(whole))
+        known = len(self.code)
+        self.sizes, self.parts = [np.concatenate(self.sizes)], [np.concatenate(self.parts)]
+        sizes = np.concatenate([self.sizes[0], np.array([len(x) for x in lists], np.int64)])
+        values = np.concatenate([self.parts[0], np.array([i for x in lists for i in x], np.uint32)])
+        counts = np.array(counts, np.int64)
+        opens = np.cumsum(counts) - counts
+        codes = np.empty(int(counts.sum()), np.int64)
+        is_rest = np.ones(len(codes), bool)
+        is_rest[opens] = False
+        codes[opens] = [known + whole[h] for h in heads]
+        codes[is_rest] = list(map(self.code.__getitem__, rest))
+        return sums_by(sizes[codes], counts), gather(codes, np.cumsum(sizes) - sizes, sizes, values)
 
 
 def slices(rows: list[str], limit: int = 4 << 20) -> Iterator[slice]:
@@ -111,7 +117,7 @@ def slices(rows: list[str], limit: int = 4 << 20) -> Iterator[slice]:
         yield slice(begin, len(rows))
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, max_pieces: int = 300_000) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, max_pieces: int = 800_000) -> None:
     """Write ``shard, doc_id, local_start, n_tokens, token_ids`` for each row of ``docs`` in ascending ``doc_id``."""
     with open(vocabulary) as f:
         json = docs.sparkSession.sparkContext.broadcast(f.read())
