@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import json
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medgrain.llm.common import folder, map_columns, partitions, table, texts, tokenizer_file
-from medgrain.llm.pretokens import cut, gather, sums_by
+from medgrain.llm.pretokens import cut, gather
 
-BATCH_CHARS = 24 << 20
+BATCH_CHARS = 32 << 20
 BATCH = "batch string, doc_ids array<bigint>, counts array<int>, codes binary, words binary"
 
 
@@ -58,23 +59,28 @@ def batches_of_words(rows: Iterator[dict], pattern: str, batch_chars: int = BATC
     def flush() -> tuple:
         led, whole, ids, codes, _ = state
         words: dict[str, int] = {}
-        sizes, flat = [], []
-        order = sorted([(c, " " + p) for p, c in led.items()] + [(c, p) for p, c in whole.items()])
-        for _, piece in order:
-            found = find(piece)
-            sizes.append(len(found))
-            flat += [words.setdefault(w, len(words)) for w in found]
-        sizes, flat = np.array(sizes, np.int64), np.array(flat, np.int64)
-        every = np.concatenate(codes)
-        counts = sums_by(sizes[every], np.array([len(c) for c in codes]))
-        used = gather(every, np.cumsum(sizes) - sizes, sizes, flat)
-        by_use = np.argsort(-np.bincount(used, minlength=len(words)), kind="stable")
-        rank = np.empty(len(words), np.int64)
+        sizes = np.zeros(len(led) + len(whole), np.int32)
+        starts, flat = np.zeros(len(sizes), np.int32), array("i")
+        for known, before in ((led, " "), (whole, "")):
+            for piece, code in known.items():
+                found = find(before + piece)
+                starts[code], sizes[code] = len(flat), len(found)
+                flat.extend([words.setdefault(w, len(words)) for w in found])
+        flat = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+        counts = [int(sizes[c].sum()) for c in codes]
+        used, uses, at = np.empty(sum(counts), np.uint32), np.zeros(len(words), np.int64), 0
+        for low in range(0, len(codes), 256):
+            part = gather(np.concatenate(codes[low:low + 256]), starts, sizes, flat)
+            used[at:at + len(part)] = part
+            uses += np.bincount(part, minlength=len(words))
+            at += len(part)
+        by_use = np.argsort(-uses, kind="stable")
+        rank = np.empty(len(words), np.uint32)
         rank[by_use] = np.arange(len(words))
+        np.take(rank, used, out=used)
         names = list(words)
         listed = json.dumps([names[i] for i in by_use.tolist()], ensure_ascii=False).encode()
-        return ([uuid.uuid4().hex], [ids], [counts.tolist()], [_pack(rank[used])],
-                [zstandard.compress(listed, 1)])
+        return [uuid.uuid4().hex], [ids], [counts], [_pack(used)], [zstandard.compress(listed, 1)]
 
     def codes_of(pieces: list[str], known: dict[str, int]) -> list[int]:
         found = list(map(known.get, pieces))
@@ -93,7 +99,7 @@ def batches_of_words(rows: Iterator[dict], pattern: str, batch_chars: int = BATC
             else:
                 codes = codes_of(pieces[:1], state[1]) + codes_of(pieces[1:], state[0])
             state[2].append(doc_id)
-            state[3].append(np.array(codes, np.int64))
+            state[3].append(np.array(codes, np.int32))
             state[4] += len(text)
             if state[4] >= batch_chars:
                 yield flush()
@@ -148,7 +154,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, batch_chars: int = BAT
                 entry[1].append(len(ids))
                 entry[2].extend(ids)
             size += len(batch["word"])
-            if size >= 1_000_000:
+            if size >= 300_000:
                 yield flush()
                 size = 0
         if held:
@@ -158,8 +164,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, batch_chars: int = BAT
         for batch in rows:
             for doc_ids, counts, codes, parts in zip(*[batch[c] for c in ("doc_ids", "counts", "codes", "parts")]):
                 at, n, ids = ([_unpack(p[c]) for p in parts] for c in ("positions", "sizes", "ids"))
-                at, n = np.concatenate([*at, [0][:0]]).astype(np.int64), np.concatenate([*n, [0][:0]]).astype(np.int64)
-                values = np.concatenate([*ids, np.zeros(0, "<u4")]).astype("<u4")
+                none = np.zeros(0, "<u4")
+                at, n, values = np.concatenate([none, *at]), np.concatenate([none, *n]), np.concatenate([none, *ids])
+                n = n.astype(np.int64)
                 sizes, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 sizes[at], starts[at] = n, np.cumsum(n) - n
                 used, stop = _unpack(codes), np.cumsum(counts).tolist()
