@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from medgrain.llm import bin_packing, byte_bpe, chat_tree, exact_dedup, language_id, mixing, order_minhash, token_files, toxicity
+from medgrain.llm import bin_packing, byte_bpe, chat_tree, exact_dedup, jaccard_join, language_id, mixing, order_minhash, token_files, toxicity
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_chat_tree": chat_tree.op2_chat_tree,
     "op3_order_minhash": order_minhash.op3_order_minhash,
     "op4_token_files": token_files.op4_token_files,
