@@ -209,12 +209,15 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     return map_columns(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")
 
 
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """Token count and SHA-256 of the ids and of the decoded bytes, and the columns in ``more``."""
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), *more)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:
     import public_tokenizers
 
     path = rank_file or tokenizer_file("byte_bpe_multi_50k.tiktoken")
-    found = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
-    return found.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digests(decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))

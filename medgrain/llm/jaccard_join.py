@@ -408,5 +408,20 @@ def jaccard_components(docs: DataFrame, report: dict | None = None) -> DataFrame
         F.when(F.col("one").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of linked documents keeps the one with the smallest ``doc_id``.
+
+    Documents without words are linked with nothing and stay. Of linked rows with one id, one stays; rows with a null
+    id stay only where their group has no numbered row.
+    """
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*docs.columns).alias("_row")), "rows")
+    found = jaccard_components(rows.select(F.col("_at").alias("doc_id"), "_row.text"))
+    ids = rows.select("_at", F.col("_row.doc_id").alias("id"))
+    places = found.select(F.col("doc_id").alias("_at"), "component_id").join(ids, "_at")
+    stay = places.groupBy("component_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_at")).alias("s")).select("s._at")
+    return rows.join(stay, "_at", "left_semi").select("_row.*")
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
