@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medgrain.llm.common import folder, map_columns, partitions, stored, table, texts
+from medgrain.llm.common import folder, map_columns, partitions, small_batches, stored, table, texts
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORDS, NUM, DEN = 5, 75, 100
@@ -73,7 +73,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts; words are hashed once while the table has room."""
 
-    def __init__(self, most_words: int = 500_000):
+    def __init__(self, most_words: int = 150_000):
         self.known: dict[bytes, int] = {}
         self.most_words = most_words
 
@@ -190,6 +190,7 @@ def _open_heads(joined: DataFrame, ranges: int) -> DataFrame:
                     sums[order[bounds[k]:bounds[k + 1]]] = np.frombuffer(zstandard.decompress(f["counts"]), "<u4")
                 ends = np.cumsum(sizes)
                 out: tuple[list, ...] = ([], [], [], [])
+                held = 0
                 for rep, i, head in zip(reps, indexes, heads):
                     frequency = sums[np.searchsorted(distinct, head)]
                     shared = np.flatnonzero(frequency > 1)
@@ -201,9 +202,10 @@ def _open_heads(joined: DataFrame, ranges: int) -> DataFrame:
                     out[1].append(sizes[i])
                     out[2].append(head[by[:len(by) - least + 1]].view(np.int64).tolist())
                     out[3].append(sets[8 * int(ends[i] - sizes[i]):8 * int(ends[i])])
-                    if len(out[0]) == 256:
+                    held += sizes[i]
+                    if held >= BLOCK_SHINGLES // 8:
                         yield out
-                        out = ([], [], [], [])
+                        out, held = ([], [], [], []), 0
                 if out[0]:
                     yield out
 
@@ -390,6 +392,11 @@ def class_components(classes: DataFrame, blocks: DataFrame, spark: SparkSession,
 def jaccard_components(docs: DataFrame, report: dict | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
     spark = docs.sparkSession
+    with small_batches(spark):
+        return _jaccard_components(spark, docs, report)
+
+
+def _jaccard_components(spark: SparkSession, docs: DataFrame, report: dict | None) -> DataFrame:
     name = f"sets_{uuid.uuid4().hex}"
     (map_columns(texts(docs), _blocks, BLOCK).write.format("parquet").option("path", folder(spark, "sets"))
      .option("compression", "none").bucketBy(partitions(spark), "block").saveAsTable(name))
