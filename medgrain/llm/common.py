@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -48,6 +49,14 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system: a reused Python worker holds on to it between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], ddl: str) -> DataFrame:
     """``mapInArrow`` over column lists: ``fn`` takes dicts of Python lists and yields tuples of lists or arrays.
 
@@ -61,6 +70,7 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]],
         for out in fn(columns):
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=k.type) for c, k in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=kinds.names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
