@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from medgrain.llm.common import folder, map_columns, partitions, table, texts, tokenizer_file
 from medgrain.llm.pretokens import cut, gather
 
-BATCH_CHARS = 32 << 20
+BATCH_CHARS = 8 << 20
 BATCH = "batch string, doc_ids array<bigint>, counts array<int>, codes binary, words binary"
 
 
