@@ -34,27 +34,30 @@ def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     """Equi-join whose right side (and left side for one_to_one) must be unique on the keys.
 
     The check is part of the plan: the right side is grouped on its keys and a group with
-    more than one row raises, so no separate job is run.
+    more than one row raises, so no separate job is run. The group's guard is read above the
+    join, so the optimizer cannot drop the check along with unused columns.
     """
     keys = list(keys)
     if validate not in ("many_to_one", "one_to_one"):
         raise ValueError(f"unknown cardinality: {validate}")
-    right = unique_rows(right, keys)
+    right = unique_rows(right, keys, guard="_right_guard")
     if validate == "one_to_one":
         left = unique_rows(left, keys)
-    return left.join(right, keys, how)
+    checked = left.join(right, keys, how)
+    return checked.where(F.coalesce("_right_guard", F.lit(0)) == 0).drop("_right_guard")
 
 
-def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same rows, failing at run time when a key repeats."""
+def unique_rows(df: DataFrame, keys: Sequence[str], guard: str | None = None) -> DataFrame:
+    """The same rows, failing at run time when a key repeats; ``guard`` names the check's column, to be kept (0)."""
     rest = [c for c in df.columns if c not in keys]
     message = F.concat(F.lit("duplicate key on " + ",".join(keys) + ": "), F.concat_ws("|", *keys))
-    guard = F.when(F.count(F.lit(1)) > 1, F.raise_error(message).cast("int")).otherwise(F.lit(0))
+    check = F.when(F.count(F.lit(1)) > 1, F.raise_error(message).cast("int")).otherwise(F.lit(0))
     # any_value of a struct keeps one row; the guard has already refused groups with more.
     grouped = df.groupBy(*keys).agg(F.any_value(F.struct(F.lit(1).alias("_one"), *rest)).alias("_row"),
-                                    guard.alias("_guard"))
-    kept = grouped.where(F.col("_guard") == 0)
-    return kept.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+                                    check.alias("_guard"))
+    kept = grouped if guard else grouped.where(F.col("_guard") == 0)
+    rows = kept.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], "_guard")
+    return rows.select(*df.columns, *[F.col("_guard").alias(g) for g in (guard,) if g])
 
 
 def alignment_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ def ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
 def page(df: DataFrame, filters: dict[str, object], order: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
     """One page of a filtered listing, each row with the total number of matches.
 
-    The total is attached to the at most ``limit`` rows of the page.
+    The total is attached to the at most ``limit`` rows of the page; a page past the end is one row with the total only.
     """
     matched = df
     for name, value in filters.items():
@@ -26,7 +26,8 @@ def page(df: DataFrame, filters: dict[str, object], order: Sequence[str], limit:
             matched = matched.where(F.col(name) == value)
     total = matched.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("_one", F.lit(1))
     rows = ordered(matched, order).offset(offset).limit(limit).withColumn("_one", F.lit(1))
-    return rows.join(F.broadcast(total), "_one").drop("_one")  # the total is one row
+    paged = F.broadcast(rows).join(total, "_one", "right").drop("_one")  # at most ``limit`` rows
+    return ordered(paged, order)
 
 
 def top_frequencies(df: DataFrame, column: str, k: int, out: str = "n") -> DataFrame:

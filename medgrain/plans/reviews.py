@@ -186,7 +186,7 @@ def problem_flags(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
         F.when(on("benzodiazepine", "anticholinergic"), F.lit("Fall risk")),
         F.when(on("anticholinergic", "antipsychotic", "benzodiazepine"), F.lit("Confusion")),
     ))
-    return present.select(*keys, F.slice(labels, 1, 3).alias("problem_flags"))
+    return present.select(*keys, labels.alias("problem_flags"))
 
 
 def patient_summary(universe: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from medgrain.sources.specs import LINEAGE_COLUMNS, TableSpec
 from medgrain.sources.storage import first_existing, signature
@@ -16,6 +18,10 @@ DISCOVERY_SCHEMA = (
 )
 
 
+#: Quoted fields may hold commas, doubled quotes and line ends.
+CSV = {"quote": '"', "escape": '"', "multiLine": "true"}
+
+
 class SourceContractError(ValueError):
     """Required tables or columns are missing."""
 
@@ -44,19 +50,34 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 
 def header(spark: SparkSession, path: str) -> list[str]:
     """The header row as written (one row is read on the driver)."""
-    row = spark.read.option("header", False).csv(path).head(1)
+    row = spark.read.options(**CSV).option("header", False).csv(path).head(1)
     return [str(v) if v is not None else "" for v in row[0]] if row else []
 
 
+def text_schema(names: list[str]) -> T.StructType:
+    """All columns as text, by the names of the header as written.
+
+    Spark then holds the header of every file against them. Empty and repeated names cannot be told apart, so such a
+    header is bound by position.
+    """
+    plain = all(names) and len({n.lower() for n in names}) == len(names)
+    return T.StructType([T.StructField(n if plain else f"c{i}", T.StringType()) for i, n in enumerate(names)])
+
+
+def bound(reader: DataFrameReader | DataStreamReader, names: list[str]) -> DataFrameReader | DataStreamReader:
+    """``reader`` set up for files of this header; a file with another one fails."""
+    schema = text_schema(names)
+    return reader.schema(schema).options(**CSV).option("header", True).option("enforceSchema", schema.names != names)
+
+
 def scan_raw(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """All columns as text under normalised names; a gzip file is spread out after the read."""
-    names = normalized_names(header(spark, path))
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    df = spark.read.schema(schema).option("header", True).csv(path)
-    df = df.select("*", "_metadata").toDF(*names, "_metadata")
-    if path.endswith(".gz"):
-        df = df.repartition(partitions) if partitions else df.repartition()
-    return df
+    """All columns as text under normalised names.
+
+    A quoted field may hold line ends, so a file is one split; rows are spread out after the read.
+    """
+    names = header(spark, path)
+    df = bound(spark.read, names).csv(path).select("*", "_metadata").toDF(*normalized_names(names), "_metadata")
+    return df.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def lenient_cast(column: Column, kind: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medgrain.sources.raw import cast_columns, conform, header, normalized_names, with_lineage
+from medgrain.sources.raw import bound, cast_columns, conform, header, normalized_names, with_lineage
 from medgrain.sources.specs import TableSpec
 
 
@@ -15,11 +15,11 @@ def ingest_stream(spark: SparkSession, spec: TableSpec, source: str, out: str, c
     The stream's checkpoint remembers the files, which replaces signature comparison. Each
     batch overwrites its own folder, so a replayed batch leaves no duplicates.
     """
-    names = normalized_names(header(spark, source))
-    reader = spark.readStream.schema(", ".join(f"c{i} string" for i in range(len(names)))).option("header", True)
+    names = header(spark, source)
+    reader = bound(spark.readStream, names)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.csv(source).select("*", "_metadata").toDF(*names, "_metadata")
+    raw = reader.csv(source).select("*", "_metadata").toDF(*normalized_names(names), "_metadata")
     rows = with_lineage(cast_columns(conform(raw, spec), spec), spec.dataset, spec.name, run_id)
 
     def write(batch: DataFrame, batch_id: int) -> None:
