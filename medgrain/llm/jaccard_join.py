@@ -14,8 +14,9 @@ still leaves every linked pair a common one, and drops the shingles of wide-spre
 
 Candidates on the lists are checked on the whole sets. What is asked for is reachability, so a list whose sets are already
 connected needs no further check: first each set is held against the one it shares most lists with, then the open lists
-are worked off: short ones by the pairs that are still apart, long ones hub by hub, where the metric property of the
-Jaccard distance settles whole neighbourhoods at once. No list is cut short.
+are worked off: short ones by the pairs that are still apart. The sets on long ones get new lists by the ``slack + 1``
+rarest shingles of the whole sets; what stays open there, sets that consist of common shingles for three quarters, is
+held together block by block: its sets outside the largest component against all of it. No list is cut short.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing; with fewer words than a
 shingle has, the whole sequence is one. Rows with equal ids are rows of their own. A null id takes no part in the
@@ -42,6 +43,7 @@ WORDS, NUM, DEN = 5, 75, 100
 SMALL_MOST = 16
 BLOCK_SHINGLES = 1 << 20
 SHORT_LIST = 64
+HUB_TURNS = 2
 BLOCK = "block string, doc_ids array<bigint>, sizes array<int>, d1 array<bigint>, d2 array<bigint>, sets binary"
 
 
@@ -324,12 +326,110 @@ def _labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
 def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """The lists that hold more than one component, with their length ``m``."""
     rows = stored(_labelled(lists, comps), "labelled")
-    state = stored(rows.groupBy("token").agg(
-        F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    ).where("low < high").select("token", "m"), "open-tokens")
+    marks = [F.sum(F.xxhash64("cid", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (1, 2)]
+    state = rows.groupBy("token").agg(
+        F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), *marks).where("low < high")
+    # The shingles of one passage are on the same sets; one of such lists speaks for all.
+    state = stored(state.groupBy("m", "mark1", "mark2").agg(F.min("token").alias("token")).select("token", "m"),
+                   "open-tokens")
     return stored(rows.join(state, "token"), "open-lists")
 
 
+def _rare_lists(sets: DataFrame) -> DataFrame:
+    """``token, cid, n``: the shared ones of the ``slack + 1`` shingles of each set that the fewest of ``sets`` hold.
+
+    Linked sets lack at most ``slack`` shingles of each other, so these hold a common one.
+    """
+
+    def unpack(rows: Iterator[dict]) -> Iterator[tuple]:
+        for batch in rows:
+            for cid, whole in zip(batch["cid"], batch["whole"]):
+                tokens = np.frombuffer(whole, np.int64)
+                for at in range(0, len(tokens), BLOCK_SHINGLES // 8):
+                    yield [cid], [len(tokens)], [tokens[at:at + BLOCK_SHINGLES // 8].tolist()]
+
+    rows = stored(map_columns(sets, unpack, "cid long, n int, tokens array<bigint>").select(
+        "cid", "n", F.explode("tokens").alias("token")), "long-tokens")
+    counts = rows.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    shared = rows.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
+    least = F.ceil(F.col("n") * F.lit(NUM) / F.lit(DEN)).cast("int")  # n - slack
+    room = F.greatest(F.size("s") - least + 1, F.lit(0))  # the unshared ones come first
+    return shared.select("cid", "n", F.explode(F.slice("s", F.lit(1), room)).alias("e")).select("e.token", "cid", "n")
+
+
+def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """For each set the hub of another component with which it shares most open lists; ``turn`` picks the hubs."""
+    hubs = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "comp")).alias("h"))
+    votes = lists.join(hubs, "token").where("comp <> h.comp and " + feasible("n", "h.n")).groupBy(
+        "cid", F.col("h.cid").alias("hub")).count()
+    return votes.groupBy("cid").agg(F.max(F.struct("count", "hub")).alias("v")).select(
+        F.least("cid", "v.hub").alias("a"), F.greatest("cid", "v.hub").alias("b")).distinct()
+
+
+def _block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges between different components on open lists of any length.
+
+    The sets outside a list's largest component are held against all of the list: both sides are dealt into blocks of
+    about half a short list, by bands of sizes, and two blocks meet in one task, which gives out the links alone.
+    """
+    sizes = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+    half = F.lit(SHORT_LIST // 2)
+    dealt = lists.select("token", "cid", "n", "comp").join(sizes, "token").select(
+        "token", "cid", "n", "comp", (F.col("comp") != F.col("top.comp")).alias("out"),
+        F.ceil((F.col("all") - F.col("top.c")) / half).cast("int").alias("outs"),
+        F.ceil(F.col("all") / half).cast("int").alias("alls"),
+        F.floor(F.log("n") / math.log(DEN / NUM)).cast("int").alias("band"), F.xxhash64("cid").alias("h"))
+    left = dealt.where("out").select(
+        "token", "cid", "n", "comp", F.lit(0).alias("side"), F.pmod("h", "outs").cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "band").withColumn(
+        "band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+    right = dealt.select(
+        "token", "cid", "n", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"),
+        F.pmod("h", "alls").cast("int").alias("j"), "band")
+    cells = left.unionByName(right).join(sets, "cid").select(
+        "token", "i", "j", "band", "side", "n", "comp", "cid", "whole")
+    names = cells.columns
+
+    def run(rows: Iterator[dict]) -> Iterator[tuple]:
+        cell, held, joined = None, [], set()
+        for batch in rows:
+            out: tuple[list, list] = ([], [])
+            for token, i, j, band, side, n, comp, cid, whole in zip(*[batch[c] for c in names]):
+                if (token, i, j, band) != cell:
+                    cell, held = (token, i, j, band), []
+                mine = np.frombuffer(whole, np.uint64)
+                if side == 0:
+                    held.append((n, comp, cid, mine))
+                    continue
+                for n_b, comp_b, cid_b, theirs in held:
+                    if comp == comp_b or DEN * min(n, n_b) < NUM * max(n, n_b) or (comp, comp_b) in joined:
+                        continue
+                    if len(np.intersect1d(mine, theirs, assume_unique=True)) >= needed(n, n_b):
+                        joined |= {(comp, comp_b), (comp_b, comp)}
+                        out[0].append(max(cid, cid_b))
+                        out[1].append(min(cid, cid_b))
+            yield out
+
+    placed = cells.repartition("token", "i", "j", "band").sortWithinPartitions("token", "i", "j", "band", "side")
+    return map_columns(placed, run, "a long, b long").distinct()
+
+
+def _long_links(ids: DataFrame, wholes: DataFrame, edges: DataFrame, comps: DataFrame, told: dict) -> DataFrame:
+    """Links among the sets ``ids`` of long lists, enough to connect what is reachable: new lists by the rarest shingles of
+    the whole sets, turns of checks of each set against one hub, then the lists that are still open."""
+    sets = stored(wholes.join(ids, "cid", "left_semi"), "long-sets")
+    lists = stored(_rare_lists(sets), "rare-lists")
+    found = edges.limit(0)
+    for turn in range(HUB_TURNS):
+        pairs = _hub_pairs(_open_lists(lists, comps), turn)
+        found = stored(found.unionByName(checked_pairs(pairs, sets).where(LINKED).select("a", "b")), "hub-links")
+        comps = stored(components(edges.unionByName(found)), "components")
+    open_ = _open_lists(lists, comps)
+    told["long"] = (sets.count(), found.count(), *open_.agg(F.count("*"), F.countDistinct("token"), F.max("m")).first())
+    return found.unionByName(_block_links(open_.select("token", "cid", "n", "comp"), sets))
+
+
 def _short_pairs(short: DataFrame) -> DataFrame:
     """Feasible pairs of different components on lists of at most ``SHORT_LIST`` sets."""
 
@@ -386,6 +486,11 @@ def class_components(classes: DataFrame, blocks: DataFrame, spark: SparkSession,
     done = stored(checked_pairs(pairs, wholes), "checked")
     told["second"] = done.agg(F.count("*"), F.sum(F.expr(LINKED).cast("int"))).first()
     edges = stored(edges.unionByName(done.where(LINKED).select("a", "b")), "edges")
+    comps = stored(components(edges), "components")
+    ids = stored(lists.where(F.col("m") > SHORT_LIST).select("cid").distinct(), "long-ids")
+    if ids.isEmpty():
+        return comps
+    edges = stored(edges.unionByName(_long_links(ids, wholes, edges, comps, told)), "edges")
     return stored(components(edges), "components")
 
 

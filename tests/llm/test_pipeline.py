@@ -109,6 +109,27 @@ def test_jaccard_join_around_the_threshold(spark):
     assert [r.component_id for r in found.orderBy("doc_id").collect()] == linked_groups([t for _, t in rows])
 
 
+def test_jaccard_join_on_long_lists(spark, monkeypatch):
+    """Sets mixed of a few common passages, so that every list is long, with linked pairs all over them."""
+    rng = np.random.default_rng(8)
+    passages = [words_text(100 + k, 30) for k in range(6)]
+    texts = []
+    for _ in range(60):
+        parts = [passages[k] for k in rng.permutation(6)[:4]] + [words_text(int(rng.integers(10**6)), int(rng.integers(60)))]
+        parts = [parts[k] for k in rng.permutation(len(parts))]
+        text = " ".join(parts).split()
+        for _ in range(4):
+            texts.append(" ".join(text))
+            text[int(rng.integers(len(text)))] = f"e{rng.integers(10**9)}"
+            text += [f"t{rng.integers(10**9)}" for _ in range(int(rng.integers(12)))]
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4)
+    told: dict = {}
+    found = jaccard_join.jaccard_components(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), told)
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == linked_groups(texts)
+    assert told["long"][2] > 0  # entries on lists that are held together block by block
+
+
 def test_subset_boundary_follows_the_cost():
     assert jaccard_join.boundary({3: 1000, 5: 1000}) >= 5
     assert jaccard_join.boundary({16: 1_000_000}, list_cost=0.01) < 16
