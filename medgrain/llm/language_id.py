@@ -236,19 +236,16 @@ def identify(docs: DataFrame, langs: list[str], weights: dict, keep: tuple[str,
     return map_columns(rows, run, f"doc_id long, {kinds}lang_pred string, score double, agreeing double")
 
 
-def keep_known(docs: DataFrame, langs: list[str], weights: dict, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are in a learned language.
+def keep_known(docs: DataFrame, langs: list[str], weights: dict) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` gives a language: all but null texts and texts without a letter.
 
-    Rejected are null texts, texts without a letter, and texts of which one language labels less than ``least`` of the
-    positions by more than chance allows (one over the root of the length). Where no language could be learned, every
-    text with a letter stays.
+    Neither the mix of languages in a text nor the network's certainty rejects it. Where no language could be learned,
+    every text with a letter stays.
     """
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")).where(F.col("text").rlike(r"\p{L}"))
     if not langs:
         return rows.select("_row.*")
-    found = identify(rows, langs, weights, keep=("_row",))
-    length = F.octet_length(F.col("_row.text"))
-    return found.where(F.col("agreeing") >= least - 1 / F.sqrt(length)).select("_row.*")
+    return identify(rows, langs, weights, keep=("_row",)).where(F.col("lang_pred") != "und").select("_row.*")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,23 @@ def test_language_stage_keeps_clean_documents(spark, documents, awkward):
     assert {0, 1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_language_stage_keeps_mixed_languages(spark, documents):
+    """Texts in two, three and four languages in even shares, long and short, and every document with a letter."""
+    letters = documents.where(F.col("text").rlike(r"\p{L}"))
+    by_lang = defaultdict(str)
+    for r in letters.where("lang is not null").orderBy("doc_id").collect():
+        by_lang[r.lang] += r.text + " "
+    langs, texts = sorted(by_lang), []
+    assert len(langs) >= 4
+    for size in (200, 5_000):
+        for k in (2, 3, 4):
+            texts += ["".join(by_lang[langs[(i + j) % len(langs)]][:size] for j in range(k)) for i in range(len(langs))]
+    rows = [(1_000_000 + i, t, None, "web", len(t)) for i, t in enumerate(texts)]
+    docs = letters.unionByName(spark.createDataFrame(rows, SCHEMA))
+    left = corpus_pipeline.identify_language(spark, docs, SF)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
 def test_language_accuracy_on_the_held_out_fold(spark):
     found = language_id.op8_language_id(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
