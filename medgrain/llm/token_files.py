@@ -5,7 +5,8 @@ id list is dictionary-coded (bit-packed indexes into at most the vocabulary's id
 row groups and pages have a set size, and the page index lets a filter on ``doc_id`` skip pages. Reading lengths or
 offsets touches no token page.
 
-The library encodes each distinct piece of a task once (see ``pretokens``); texts it may not cut are encoded whole. The
+The library encodes each distinct piece of a task once (see ``pretokens``); texts it may not cut are encoded whole, as
+are texts that hold the string of an added token, which becomes that token's id as in the library alone. The
 table of known pieces is bounded by ``max_pieces`` and starts anew when it is full, which changes no result.
 
 Null and empty texts hold the end id alone; rows with the same id stay in order of their text.
@@ -13,6 +14,7 @@ Null and empty texts hold the end id alone; rows with the same id stay in order
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,7 +48,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.max_pieces = max_pieces
@@ -80,7 +83,7 @@ class PieceEncoder:
             self._clear()
         heads, rest, counts = [], [], []
         for text in batch:
-            pieces = cut(text)
+            pieces = None if self.added and self.added.search(text) else cut(text)
             if pieces is None:
                 heads.append(text)
                 counts.append(1)

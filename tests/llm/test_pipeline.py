@@ -383,3 +383,16 @@ def test_pipeline_runs_whole(spark):
     assert rows and all(len(r.ids) == 4 * r.n_tokens for r in rows)
     known = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r.doc_id for r in rows} <= known
+
+
+def test_token_files_take_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    vocabulary = tokenizer_file("byte_bpe_50k.json")
+    plain, mark = Tokenizer.from_file(vocabulary), "<|endoftext|>"
+    texts = [f"one {mark} two", "one two", f"one \n {mark}", mark, f"{mark}{mark} x", f"a  b {mark} ", "<|endoftext| >", f"x{mark}y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_tokens(docs, f"file://{tmp_path}/added", vocabulary)
+    found = {r.doc_id: r.token_ids for r in token_files.read_tokens(spark, f"file://{tmp_path}/added").collect()}
+    assert found == {i: plain.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert 50256 in found[0]
