@@ -112,8 +112,11 @@ def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def rule_score(df: DataFrame, rules: list[Rule], caps: dict[str, int] | None = None,
-               stems: dict[str, str] | None = None) -> DataFrame:
-    """Capped bucket points, total, level, ordered reasons, alert text and evidence JSON."""
+               stems: dict[str, str] | None = None, fragments: int | None = None) -> DataFrame:
+    """Capped bucket points, total, level, ordered reasons, alert text and evidence JSON.
+
+    The alert holds all fragments of its bucket, or the first ``fragments``.
+    """
     caps, stems = caps or K.BUCKET_CAPS, stems or K.BUCKET_STEMS
     hits = df.select("*", *[r.test.alias(f"_hit_{r.name}") for r in rules])
     hit = {r.name: F.col(f"_hit_{r.name}") for r in rules}
@@ -135,9 +138,10 @@ def rule_score(df: DataFrame, rules: list[Rule], caps: dict[str, int] | None = N
 
     alert = F.lit(None).cast("string")
     for b in reversed(list(caps)):
+        named = texts(lambda r: r.fragment, b)
         line = F.concat(
             F.lit(stems.get(b, "Structured signal") + ": "),
-            F.array_join(F.slice(texts(lambda r: r.fragment, b), 1, 2), ", "),
+            F.array_join(named if fragments is None else F.slice(named, 1, fragments), ", "),
             F.lit("."),
         )
         alert = F.when(points[b] == top, line).otherwise(alert)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medgrain import constants as K
@@ -140,20 +140,25 @@ def dominant(df: DataFrame, keys: Sequence[str], column: str, out: str, ignore:
     )
 
 
-def first_reasons(df: DataFrame, keys: Sequence[str], score: str, reasons: str, order: Sequence[str],
-                  limit: int = 4) -> DataFrame:
-    """Distinct reasons of the top-score rows in order of first appearance, the first ``limit``.
-
-    The list is a report field. Reasons are counted as (key, reason) rows first, so the
-    gathered list holds one entry per distinct reason text.
-    """
+def reason_rows(df: DataFrame, keys: Sequence[str], score: str, reasons: str, order: Sequence[str]) -> DataFrame:
+    """All distinct reasons of the top-score rows, a row each: keys, ``position`` of first appearance from 1, ``reason``."""
     top = df.groupBy(*keys).agg(F.max(score).alias("_top"))
     rows = join_null_safe(df.select(*keys, score, reasons, *[o.lstrip("-") for o in order]), top, keys)
     rows = rows.where(F.col(score) == F.col("_top"))
     long = rows.select(*keys, order_struct(rows, order).alias("_o"), F.posexplode(reasons).alias("_p", "_reason"))
     first = long.groupBy(*keys, "_reason").agg(F.min(F.struct("_o", "_p")).alias("_at"))
-    listed = F.slice(F.array_sort(F.collect_list(F.struct("_at", "_reason"))), 1, limit)
-    return first.groupBy(*keys).agg(F.transform(listed, lambda x: x["_reason"]).alias(reasons))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_at", "_reason"))
+    return first.select(*keys, place.alias("position"), F.col("_reason").alias("reason"))
+
+
+def first_reasons(df: DataFrame, keys: Sequence[str], score: str, reasons: str, order: Sequence[str],
+                  limit: int | None = None) -> DataFrame:
+    """``reason_rows`` as one list a key: all of them, or the first ``limit`` where the caller wants a short field."""
+    rows = reason_rows(df, keys, score, reasons, order)
+    if limit is not None:
+        rows = rows.where(F.col("position") <= limit)
+    listed = F.array_sort(F.collect_list(F.struct("position", "reason")))
+    return rows.groupBy(*keys).agg(F.transform(listed, lambda x: x["reason"]).alias(reasons))
 
 
 def qc_profile(df: DataFrame, keys: Sequence[str], subject: str, null_columns: Sequence[str]) -> DataFrame:

@@ -399,7 +399,7 @@ def agg_top_row_summary(t):
     o = t.orders.withColumn("sc", F.round(c("o_totalprice") / 100000)).withColumn("reasons", F.array("o_orderpriority", "o_orderstatus"))
     top = ops.top_row_summary(o, ["o_custkey"], ["-sc", "o_orderkey"], ["o_orderkey"], score="sc",
                               flagged=c("o_orderstatus") == "F", encounter="o_orderdate")
-    why = ops.first_reasons(o, ["o_custkey"], "sc", "reasons", ["o_orderkey"])
+    why = ops.first_reasons(o, ["o_custkey"], "sc", "reasons", ["o_orderkey"], limit=4)
     return top.join(why, "o_custkey").withColumn("reasons", F.array_join("reasons", ";"))
 
 

@@ -279,7 +279,7 @@ def job_scores(t):
         F.max("age_proxy").alias("age_proxy"), F.max("sex").alias("sex"))
     rv = e.select("subject_id", "hadm_id", "encounter_id", c("med").alias("medication_normalized"), c("starttime").alias("review_timestamp"),
                   F.when(c("kind") == "hospital_order", "active_at_review_time").alias("medication_status_at_review"))
-    s = scores.build_scores(scores.build_features(cohort, rv, clinic.diagnoses(t), clinic.labs(t)))
+    s = scores.build_scores(scores.build_features(cohort, rv, clinic.diagnoses(t), clinic.labs(t)), fragments=2)
     return s.select("hadm_id", "drug", c("current_medication_count").alias("n_cur"), c("current_peak_concurrent_medication_count").alias("peak"),
                     c("egfr_ml_min_1_73m2").alias("egfr"), c("creatinine_trend_direction").alias("trend"), c("priority_score").alias("score"),
                     c("priority_level").alias("level"), c("summary_alert").alias("alert"), F.array_join("reasons", "; ").alias("reasons"))

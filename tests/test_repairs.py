@@ -6,6 +6,8 @@ import gzip
 
 import pytest
 
+from medgrain.functions.scoring import Rule, rule_score
+from medgrain.operators.aggregates import first_reasons, reason_rows
 from medgrain.operators.joins import checked_join
 from medgrain.operators.ordering import page
 from medgrain.sources.artifacts import ingest, read_csv, write_csv
@@ -72,3 +74,21 @@ def test_a_second_ingestion_skips_and_keeps_counts(spark, tmp_path):
     first, second = [ingest(spark, [spec], str(tmp_path / "in"), str(tmp_path / "out"), r).collect()[0] for r in "ab"]
     assert (first.status, first.row_count) == ("ingested", 3)
     assert (second.status, second.row_count) == ("skipped_incremental", 3)
+
+
+def test_all_reasons_of_the_top_rows(spark):
+    rows = [("a", 2, 1, ["r1", "r2", "r3"]), ("a", 2, 2, ["r2", "r4", "r5", "r6"]), ("a", 1, 0, ["low"]), (None, 1, 3, ["n"])]
+    df = spark.createDataFrame(rows, "k string, sc int, id int, reasons array<string>")
+    want = ["r1", "r2", "r3", "r4", "r5", "r6"]
+    args = (df, ["k"], "sc", "reasons", ["id"])
+    assert {r.k: r.reasons for r in first_reasons(*args).collect()} == {"a": want, None: ["n"]}
+    assert {r.k: r.reasons for r in first_reasons(*args, limit=2).collect()} == {"a": want[:2], None: ["n"]}
+    found = sorted((r.position, r.reason) for r in reason_rows(*args).where("k = 'a'").collect())
+    assert found == list(enumerate(want, 1))
+
+
+def test_alert_holds_all_fragments(spark):
+    df = spark.createDataFrame([(1,)], "x int")
+    rules = [Rule(f"r{i}", "b", 1, df["x"] == 1, f"reason {i}", f"f{i}") for i in range(3)]
+    alert = lambda **k: rule_score(df, rules, {"b": 3}, {"b": "B"}, **k).first().summary_alert
+    assert (alert(), alert(fragments=2)) == ("B: f0, f1, f2.", "B: f0, f1.")
