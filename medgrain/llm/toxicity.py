@@ -44,24 +44,33 @@ def keys_of(word: str) -> list[str]:
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), in one pass with a stack of candidates."""
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at its end
+    """All maximal scoring segments (start, end, score), in one pass with a stack of candidates.
+
+    Each candidate knows the nearest one below it with a lower sum before. Where a new candidate has none, no later step
+    can reach the others, so they are final and leave the stack; the time is linear.
+    """
+    done: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum at its end, place of the lower one
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
         start, left, right = i, before, total
+        at = len(stack) - 1
         while True:
-            at = len(stack) - 1
             while at >= 0 and stack[at][2] >= left:
-                at -= 1
+                at = stack[at][4]
             if at < 0 or stack[at][3] >= right:
                 break
-            start, left = stack[at][0], stack[at][2]
+            start, left, below = stack[at][0], stack[at][2], stack[at][4]
             del stack[at:]
-        stack.append((start, i + 1, left, right))
-    return [(a, b, high - low) for a, b, low, high in stack]
+            at = below
+        if at < 0:
+            done += [(a, b, high - low) for a, b, low, high, _ in stack]
+            stack.clear()
+        stack.append((start, i + 1, left, right, at))
+    return done + [(a, b, high - low) for a, b, low, high, _ in stack]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, toxic_words: float, clean_words: float,

@@ -352,6 +352,24 @@ def test_maximal_segments_by_brute_force():
         assert all(x[1] <= y[0] for x, y in zip(sorted(found), sorted(found)[1:]))
 
 
+def test_maximal_segments_take_linear_time():
+    class Counted(float):
+        compared = 0
+
+        def __ge__(self, other):
+            Counted.compared += 1
+            return float(self) >= float(other)
+
+        def __add__(self, other):
+            return Counted(float(self) + float(other))
+
+        __radd__ = __add__
+
+    scores = np.random.default_rng(6).normal(-0.3, 1, 8_000).tolist()
+    assert toxicity.maximal_segments([Counted(s) for s in scores]) == toxicity.maximal_segments(scores)
+    assert Counted.compared <= 8 * len(scores)
+
+
 def test_shards_are_even_and_whole(spark, documents, awkward):
     for docs, even in ((documents, True), (awkward, False)):
         rows = [tuple(r) for r in bin_packing.pack(docs).select("doc_id", "size", "text_crc32", "shard", "slot").collect()]
