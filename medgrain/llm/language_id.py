@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-Training is backpropagation through time on a bounded sample: at most ``per_lang`` windows of ``WINDOW`` bytes for each
-language, from documents outside the held-out fold, picked by a hash of the id and with a hash-chosen place in the
-text. Prediction runs over every byte of every text: each position gets a distribution over languages from both
-directions, and the document's is the mean over its positions.
+Training is backpropagation through time on a bounded sample: at most ``per_lang`` pieces of ``_SAMPLE_CHARS``
+characters for each language, each cut into windows of ``WINDOW`` bytes, from documents outside the held-out fold, picked
+by a hash of the id and with a hash-chosen place in the text. Prediction runs over every byte of every text: each
+position gets a distribution over languages from both directions, and the document's is the mean over its positions.
+The state starts anew in each window of ``WINDOW`` bytes, so no position sees beyond its own.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text where no language could be learned.
 Rows come back one for one.
