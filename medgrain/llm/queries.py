@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from medgrain.llm import bin_packing, byte_bpe, chat_tree, exact_dedup, jaccard_join, language_id, mixing, order_minhash, token_files, toxicity
+from medgrain.llm import (
+    alignment, bin_packing, byte_bpe, chat_tree, exact_dedup, jaccard_join, language_id, mixing, order_minhash, prefix_trie,
+    token_files, topk_search, toxicity,
+)
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -15,7 +18,12 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "op11_topk_search": topk_search.op11_topk_search,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_topk_search": topk_search.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
