@@ -207,9 +207,10 @@ def fn_encounter_id(t):
 
 REVIEW_SQL = f"""
 WITH {ENC}, {EV}, {LABS},
-m AS (SELECT encounter_id, max(CASE WHEN kind IN ('hospital_admin', 'ed_pyxis') THEN starttime END) AS ad,
-  max(CASE WHEN kind = 'hospital_order' THEN greatest(stoptime, starttime) END) AS od FROM ev WHERE enriched = 1 GROUP BY 1),
-l AS (SELECT hadm_id, max(charttime) AS lb FROM labs WHERE itemid = 0 GROUP BY 1), v AS (SELECT event_id AS hadm_id, max(ts) AS vt FROM events GROUP BY 1),
+m AS (SELECT encounter_id, max(CASE WHEN kind IN ('hospital_admin', 'ed_pyxis') THEN a END) AS ad,
+  max(CASE WHEN kind = 'hospital_order' THEN greatest(b, a) END) AS od
+  FROM (SELECT *, CASE WHEN enriched = 1 THEN starttime END AS a, CASE WHEN enriched = 1 THEN stoptime END AS b FROM ev) GROUP BY 1),
+l AS (SELECT hadm_id, max(CASE WHEN itemid = 0 THEN charttime END) AS lb FROM labs GROUP BY 1), v AS (SELECT event_id AS hadm_id, max(ts) AS vt FROM events GROUP BY 1),
 x AS (SELECT e.encounter_id, dischtime, ad, od, lb, vt, coalesce(ad, od, lb, vt, dischtime) AS cand,
   CASE WHEN ad IS NOT NULL THEN 'medication_administration' WHEN od IS NOT NULL THEN 'medication_order' WHEN lb IS NOT NULL THEN 'lab' WHEN vt IS NOT NULL THEN 'vitals' ELSE 'encounter_end' END AS src
   FROM enc e LEFT JOIN m ON e.encounter_id = m.encounter_id LEFT JOIN l ON e.hadm_id = l.hadm_id LEFT JOIN v ON e.hadm_id = v.hadm_id)"""
@@ -217,10 +218,13 @@ x AS (SELECT e.encounter_id, dischtime, ad, od, lb, vt, coalesce(ad, od, lb, vt,
 
 def review_frame(t, policy):
     enc = t.encounters().withColumn("stay_id", c("hadm_id"))
-    e = clinical_events(t.med_events().where(c("enriched") == 1)).withColumn("event_time", c("starttime"))
+    # Some times are unknown, so that every source decides for some encounter.
+    timed = {n: F.when(c("enriched") == 1, c(n)) for n in ("starttime", "stoptime")}
+    e = clinical_events(t.med_events().withColumns(timed)).withColumn("event_time", c("starttime"))
+    labs = t.labs().withColumn("charttime", F.when(c("itemid") == 0, c("charttime")))
     vitals = t.events.join(t.orders, c("event_id") == c("o_orderkey")).select(
         c("o_custkey").alias("subject_id"), c("event_id").alias("stay_id"), c("ts").alias("charttime"))
-    return review_times(enc, e, t.labs().where(c("itemid") == 0), vitals, policy)
+    return review_times(enc, e, labs, vitals, policy)
 
 
 @query("fn_review_time", "encounter_id:s at:s src:s", REVIEW_SQL + " SELECT encounter_id, cand AS at, src FROM x")

@@ -91,7 +91,7 @@ def _encounters(t):
 RANK = "CASE kind WHEN 'hospital_order' THEN 4 WHEN 'home_medrecon' THEN 3 WHEN 'hospital_admin' THEN 2 ELSE 1 END"
 PICK = f"(NOT act, -({RANK}), -epoch_us(starttime), -enriched, event_id)"
 TIMES = """m AS (SELECT encounter_id, max(starttime) FILTER (kind IN ('hospital_admin', 'ed_pyxis')) AS ad, max(greatest(stoptime, starttime)) FILTER (kind = 'hospital_order') AS od FROM ev GROUP BY 1),
-l AS (SELECT hadm_id, max(charttime) AS lt FROM labs WHERE itemid = 0 GROUP BY 1),
+l AS (SELECT hadm_id, max(charttime) AS lt FROM labs GROUP BY 1),
 rt AS (SELECT e.*, coalesce(ad, od, lt, e.dischtime) AS cand, CASE WHEN ad IS NOT NULL THEN 'medication_administration' WHEN od IS NOT NULL THEN 'medication_order' WHEN lt IS NOT NULL THEN 'lab' ELSE 'encounter_end' END AS src
   FROM enc e LEFT JOIN m ON e.encounter_id = m.encounter_id LEFT JOIN l ON e.hadm_id = l.hadm_id)"""
 
@@ -102,7 +102,7 @@ g AS (SELECT encounter_id, med, max(rev) AS at, max(src) AS src, arg_min(event_i
   FROM sa GROUP BY 1, 2)
 SELECT encounter_id, med, g."at", src, event_id, kind, n_active, n FROM g WHERE status = 'active_at_review_time'""")
 def job_snapshot(t):
-    out = review.build_snapshot(review.build_review(_encounters(t), _named(t), t.labs().where(c("itemid") == 0)))
+    out = review.build_snapshot(review.build_review(_encounters(t), _named(t), t.labs()))
     return out.select(
         "encounter_id", c("medication_normalized").alias("med"), c("snapshot_time").alias("at"), c("review_timestamp_source").alias("src"),
         c("medication_event_id").alias("event_id"), c("medication_event_type").alias("kind"), c("active_event_count_at_review").alias("n_active"),
@@ -139,7 +139,7 @@ state AS (SELECT any_value(subject_id) AS subject_id, encounter_id, std, any_val
 
 
 def state_of(t):
-    return review.build_state(_encounters(t), _named(t), _mapping(t), t.labs().where(c("itemid") == 0))
+    return review.build_state(_encounters(t), _named(t), _mapping(t), t.labs())
 
 
 @query("job_state", "subject_id:l encounter_id:s med:s at:s src:s capped:i status:s active:i n_active:l n:l event_id:s kind:s cls:s ing:s conf:s cand_n:l cont:i started:i home:i", f"""
@@ -264,8 +264,8 @@ SELECT hadm_id, drug, n_cur, peak, egfr, CASE WHEN dl IS NULL THEN NULL WHEN dl
   CASE WHEN b1 + b2 + b3 < 4 THEN 'low' WHEN b1 + b2 + b3 < 7 THEN 'medium' ELSE 'high' END AS level,
   CASE WHEN b1 + b2 + b3 = 0 THEN 'No strong immediate deprescribing alert from the current structured evidence.'
    WHEN b1 >= b2 AND b1 >= b3 THEN 'Medication risk signal: ' || concat_ws(', ', CASE WHEN t1 THEN 'opioid risk' END, CASE WHEN t2 THEN 'antipsychotic risk' END, CASE WHEN t3 THEN 'ppi exposure' END, CASE WHEN t5 AND NOT (t1 OR t2 OR t3) OR t5 THEN 'polypharmacy' END) || '.'
-   WHEN b2 >= b3 THEN 'Patient context aggravates medication risk: ' || array_to_string(list_slice([z_ FOR z_ IN [CASE WHEN t6 THEN 'renal vulnerability' END, CASE WHEN t7 THEN 'cognitive vulnerability' END,
-      CASE WHEN t8 THEN 'cardiometabolic terrain' END, CASE WHEN t9 THEN 'reduced baseline reserve' END] IF z_ IS NOT NULL], 1, 2), ', ') || '.'
+   WHEN b2 >= b3 THEN 'Patient context aggravates medication risk: ' || array_to_string([z_ FOR z_ IN [CASE WHEN t6 THEN 'renal vulnerability' END, CASE WHEN t7 THEN 'cognitive vulnerability' END,
+      CASE WHEN t8 THEN 'cardiometabolic terrain' END, CASE WHEN t9 THEN 'reduced baseline reserve' END] IF z_ IS NOT NULL], ', ') || '.'
    ELSE 'Dynamic clinical evidence raises concern: ' || concat_ws(', ', CASE WHEN t10 THEN 'rising creatinine' END, CASE WHEN t11 THEN 'electrolyte concern' END) || '.' END AS alert,
   concat_ws('; ', CASE WHEN t1 THEN 'opioid exposure' END, CASE WHEN t2 THEN 'antipsychotic exposure' END, CASE WHEN t3 THEN 'proton pump inhibitor exposure' END, CASE WHEN t5 THEN 'current polypharmacy at encounter review time' END,
     CASE WHEN t6 THEN 'reduced renal reserve or renal vulnerability' END, CASE WHEN t7 THEN 'cognitive vulnerability from dementia or delirium context' END, CASE WHEN t8 THEN 'cardiac or metabolic comorbidity may narrow medication tolerance' END,
@@ -279,7 +279,7 @@ def job_scores(t):
         F.max("age_proxy").alias("age_proxy"), F.max("sex").alias("sex"))
     rv = e.select("subject_id", "hadm_id", "encounter_id", c("med").alias("medication_normalized"), c("starttime").alias("review_timestamp"),
                   F.when(c("kind") == "hospital_order", "active_at_review_time").alias("medication_status_at_review"))
-    s = scores.build_scores(scores.build_features(cohort, rv, clinic.diagnoses(t), clinic.labs(t)), fragments=2)
+    s = scores.build_scores(scores.build_features(cohort, rv, clinic.diagnoses(t), clinic.labs(t)))
     return s.select("hadm_id", "drug", c("current_medication_count").alias("n_cur"), c("current_peak_concurrent_medication_count").alias("peak"),
                     c("egfr_ml_min_1_73m2").alias("egfr"), c("creatinine_trend_direction").alias("trend"), c("priority_score").alias("score"),
                     c("priority_level").alias("level"), c("summary_alert").alias("alert"), F.array_join("reasons", "; ").alias("reasons"))
