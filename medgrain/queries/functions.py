@@ -375,7 +375,7 @@ def fn_inclusion_reason(t):
 
 @query("fn_row_id", "rid:s run:s", """
 SELECT l_orderkey || '|' || l_linenumber || '|' || coalesce(nullif(l_returnflag, 'N'), '') || '|' || l_partkey AS rid,
-  'run-' || substr(sha256('{"a":' || l_partkey || ',"b":' || coalesce('"' || nullif(l_returnflag, 'N') || '"', 'null') || '}'), 1, 12) AS run FROM lineitem""")
+  'run-' || sha256('{"a":' || l_partkey || ',"b":' || coalesce('"' || nullif(l_returnflag, 'N') || '"', 'null') || '}') AS run FROM lineitem""")
 def fn_row_id(t):
     flag = F.nullif("l_returnflag", F.lit("N"))
     return t.lineitem.select(jsoncols.row_id(c("l_orderkey"), c("l_linenumber"), flag, c("l_partkey")).alias("rid"),
