@@ -19,6 +19,7 @@ vocabularies bound.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -31,8 +32,8 @@ from medgrain.llm.common import map_columns, partitions, small_batches, stored,
 from medgrain.llm.pretokens import ODD_SPACE, gather, sums_by
 
 BATCH_CHARS = 4 << 20
-MOST_PIECES, MOST_CHARS = 400_000, 16 << 20
-TOGETHER = 200
+MOST_PIECES, MOST_CHARS = 600_000, 16 << 20
+TOGETHER, LEARNT = 200, 4000
 SHIFT = 17  # ids of either tokenizer are below 2 ** SHIFT
 PAIRS_AT_ONCE = 1 << 21
 MOST_RANGES = 512
@@ -131,42 +132,41 @@ class Lexicon:
         self.counts = [np.zeros((0, 4), np.int64)]  # A tokens, B tokens, groups, links
         self.link_sizes, self.link_pairs, self.link_times = ([np.zeros(0, np.int64)] for _ in range(3))
 
-    def _encoded(self, side: int, pieces: list[str]) -> list[list[int]]:
+    def _ids(self, side: int, pieces: list[str], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of all pieces, of ``whole`` bytes each, and how many each has; nothing where they do not add up to that.
+
+        Words are joined; a token that opens with a space begins a word.
+        """
+        lines = [" ".join(pieces[i:i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
         if side:
-            return self.b.encode(pieces, num_threads=1)
-        return [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-
-    def _ids(self, side: int, pieces: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces and how many each has. Words are joined; a token that opens with a space begins a word."""
-        ids = np.array(self._encoded(side, [" ".join(pieces)])[0] if joined else [], np.int64)
-        first = np.flatnonzero(self.opens[side][ids])
-        if joined and len(first) == len(pieces):
-            return ids, np.diff(np.append(first, len(ids)))
-        lists = self._encoded(side, pieces)
-        return np.array([i for x in lists for i in x], np.int64), np.array([len(x) for x in lists])
-
-    def learn(self, pieces: list[str], joined: bool) -> None:
-        for low in range(0, len(pieces), TOGETHER if joined else 16):
-            self._learn(pieces[low:low + (TOGETHER if joined else 16)], joined)
-
-    def _learn(self, pieces: list[str], joined: bool) -> None:
-        raw = [b" " + p.encode() for p in pieces]
-        self.chars += sum(map(len, pieces))
-        ids, sizes = zip(*(self._ids(side, pieces, joined) for side in (0, 1)))
+            lists = self.b.encode(lines, num_threads=1)
+        else:
+            lists = [e.ids for e in self.a.encode_batch_fast([" " + x for x in lines], add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64)
+        first = np.flatnonzero(self.opens[side][ids]) if len(pieces) > 1 else np.zeros(min(1, len(ids)), np.int64)
+        if len(first) != len(pieces):
+            return None
+        sizes = np.diff(np.append(first, len(ids)))
+        right = np.array_equal(sums_by(self.sizes[side][ids], sizes), whole) and b"".join(
+            map(self.bytes[side].__getitem__, ids.tolist())) == " ".join(["", *pieces]).encode()
+        return (ids, sizes) if right else None
+
+    def learn(self, pieces: list[str]) -> None:
+        for low in range(0, len(pieces), LEARNT):
+            self._learn(pieces[low:low + LEARNT])
+
+    def _learn(self, pieces: list[str]) -> None:
+        whole = np.array([len(p.encode()) + 1 for p in pieces])
+        both = [self._ids(side, pieces, whole) for side in (0, 1)]
         good = np.ones(len(pieces), bool)
-        if any(b"".join(map(self.bytes[s].__getitem__, ids[s].tolist())) != b"".join(raw) or not np.array_equal(
-                sums_by(self.sizes[s][ids[s]], sizes[s]), [len(r) for r in raw]) for s in (0, 1)):
-            if joined:  # one by one, as the joined words are not what they should be
-                for p in pieces:
-                    self._learn([p], False)
+        if None in both:
+            if len(pieces) > 1:  # halves, down to the piece that a tokenizer changes
+                for half in (pieces[:len(pieces) // 2], pieces[len(pieces) // 2:]):
+                    self._learn(half)
                 return
-            for s in (0, 1):
-                ends = np.cumsum(sizes[s])
-                for i, r in enumerate(raw):
-                    part = ids[s][ends[i] - sizes[s][i]:ends[i]].tolist()
-                    good[i] &= b"".join(map(self.bytes[s].__getitem__, part)) == r
-            ids = [ids[s][np.repeat(good, sizes[s])] for s in (0, 1)]
-            sizes = [np.where(good, sizes[s], 0) for s in (0, 1)]
+            both, good = [(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2, np.zeros(1, bool)
+        self.chars += int(whole.sum())
+        ids, sizes = zip(*both)
         pieces_of = [np.repeat(np.arange(len(pieces)), n) for n in sizes]
         labels = groups_of(*(np.cumsum(self.sizes[s][ids[s]]) for s in (0, 1)))
         piece, pair, times = links_of(labels[0], ids[0], labels[1], ids[1], pieces_of[1])
@@ -187,19 +187,20 @@ class Lexicon:
         self.link_pairs.append(pair)
         self.link_times.append(times)
 
-    def codes(self, text: str) -> list[int]:
-        """Numbers of the text's pieces."""
-        if ODD_SPACE.search(" " + text):
-            self.learn([text], False)
-            return [len(self.good) - 1]
-        pieces = text.split(" ")
-        found = list(map(self.code.get, pieces))
-        if None in found:
-            new = [p for p in dict.fromkeys(pieces) if p not in self.code]
-            self.code.update(zip(new, range(len(self.good), len(self.good) + len(new))))
-            self.learn(new, True)
-            found = list(map(self.code.__getitem__, pieces))
-        return found
+    def codes(self, some: list[str]) -> list[np.ndarray]:
+        """Numbers of the pieces of each text."""
+        cut = [None if ODD_SPACE.search(" " + text) else text.split(" ") if text else [] for text in some]
+        new = sorted(set(itertools.chain.from_iterable(p for p in cut if p)).difference(self.code))
+        self.code.update(zip(new, range(len(self.good), len(self.good) + len(new))))
+        self.learn(new)
+        out = []
+        for text, pieces in zip(some, cut):
+            if pieces is None:
+                self._learn([text])
+                out.append(np.array([len(self.good) - 1]))
+            else:
+                out.append(np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces)))
+        return out
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         for x in (self.counts, self.link_sizes, self.link_pairs, self.link_times):
@@ -232,10 +233,11 @@ def batches_of_pieces(rows: Iterator[dict], json: str, model: bytes, batch_chars
 
     lexicon = Lexicon(json, model)
     ids: list = []
-    codes: list[np.ndarray] = []
+    held: list[str] = []
     chars = 0
 
     def flush() -> tuple:
+        codes = lexicon.codes(held)
         counts, link_sizes, link_pairs, link_times = lexicon.arrays()
         good = np.array(lexicon.good, bool)
         kept = [c if good[c].all() else c[:0] for c in codes]
@@ -252,7 +254,7 @@ def batches_of_pieces(rows: Iterator[dict], json: str, model: bytes, batch_chars
                [zstandard.compress(b"".join(rendered), 1)], [pack(np.array([len(r) for r in rendered], np.int64))],
                [pack(sizes)], [pack(place)], [pack(times)], [pack(pairs)], [pack(holders)])
         ids.clear()
-        codes.clear()
+        held.clear()
         if len(lexicon.good) > MOST_PIECES or lexicon.chars > MOST_CHARS:
             lexicon.clear()
         return out
@@ -260,7 +262,7 @@ def batches_of_pieces(rows: Iterator[dict], json: str, model: bytes, batch_chars
     for batch in rows:
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             ids.append(doc_id)
-            codes.append(np.array(lexicon.codes(text) if text else [], np.int64))
+            held.append(text)
             chars += len(text) + 64
             if chars >= batch_chars:
                 yield flush()
