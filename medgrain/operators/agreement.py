@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from medgrain import constants as K
 from medgrain.functions.scoring import level_rank
 from medgrain.operators.aggregates import count_if, rate
+from medgrain.operators.quantiles import with_quantile
 from medgrain.operators.skew import running
 
 
@@ -47,9 +48,10 @@ def ordinal_summary(df: DataFrame, left_level: str, right_level: str, left_score
         aggs += [
             F.count(error).alias("comparable_score_rows"), count_if(F.round(error, 12) == 0).alias("exact_score_count"),
             (F.sum(error.cast("decimal(28,6)")).cast("double") / F.count(error)).alias("mean_abs_score_error"),
-            F.percentile(error, 0.5).alias("median_abs_score_error"),
         ]
     grouped = df.groupBy(*by).agg(*aggs)
+    if left_score and right_score:
+        grouped = with_quantile(grouped, df.select(*by, error.alias("_error")), by, "_error", 0.5, "median_abs_score_error")
     n = F.col("comparable_level_rows")
     return grouped.select(
         "*", rate(F.col("same_level_count"), n).alias("same_level_rate"),

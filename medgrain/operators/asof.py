@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medgrain.functions.clinical import trend
-from medgrain.operators.skew import join_null_safe, running, time_bucket
+from medgrain.operators.skew import join_null_safe, running, spread_join, time_bucket
 
 SUM_TYPE = "decimal(28,6)"  # exact sums: the answer does not depend on partitioning
 
@@ -131,10 +131,12 @@ def window_summary(base: DataFrame, obs: DataFrame, key: str, low: str, high: st
                    aggs: dict[str, Column]) -> DataFrame:
     """Aggregate the observations of ``key`` inside ``(low, high]`` of its window.
 
-    ``base`` has one window per key (one review per encounter), so each observation meets
-    at most one window and is combined on the map side before the second shuffle.
+    ``base`` has one window per key (one review per encounter), so each observation meets at most one window. A key's
+    observations are spread over several places and combined there before they meet.
     """
-    inside = base.select(key, low, high).join(obs, key).where((F.col(ts) > F.col(low)) & (F.col(ts) <= F.col(high)))
+    known = base.select(key, low, high).where(F.col(key).isNotNull())
+    inside = spread_join(obs.where(F.col(key).isNotNull()), known, [key]).where(
+        (F.col(ts) > F.col(low)) & (F.col(ts) <= F.col(high)))
     summed = inside.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
     return base.join(summed, key, "left")
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medgrain.operators.skew import first_per_key
+from medgrain.operators.skew import first_per_key, left_join_known
 
 
 def equi(keys: Sequence[str], left: str = "l", right: str = "r") -> Column:
@@ -163,14 +163,11 @@ def reenrich(state: DataFrame, mapping: DataFrame, key: str, fields: Sequence[st
 
 def exists_either(df: DataFrame, first: DataFrame, second: DataFrame, first_keys: Sequence[str],
                   second_keys: Sequence[str]) -> DataFrame:
-    """Add 0/1 ``in_first`` and ``in_second`` from two distinct key sets."""
+    """Add 0/1 ``in_first`` and ``in_second`` from two distinct key sets; rows with null keys meet in no one task."""
     a = first.select(*first_keys).dropna().distinct().withColumn("in_first", F.lit(1))
     b = second.select(*second_keys).dropna().distinct().withColumn("in_second", F.lit(1))
-    return (
-        df.join(a, list(first_keys), "left")
-        .join(b, list(second_keys), "left")
-        .fillna(0, ["in_first", "in_second"])
-    )
+    joined = left_join_known(left_join_known(df, a, first_keys), b, second_keys)
+    return joined.fillna(0, ["in_first", "in_second"])
 
 
 def fallback_match(left: DataFrame, right: DataFrame, row_key: str, passes: Sequence[tuple[Sequence[str], Sequence[str]]],

@@ -32,6 +32,28 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, on, how).drop(*renamed.values())
 
 
+SPREAD = 16
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], parts: int = SPREAD) -> DataFrame:
+    """Inner equi-join of many rows to few, with each key of ``rows`` dealt over ``parts`` places.
+
+    A row's place is a hash of the whole row; the narrow frame ``per_key`` is repeated once for each place. What follows
+    may group by ``keys``: each place is then reduced on the map side before the keys meet.
+    """
+    placed = rows.withColumn("_spread", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+    repeated = per_key.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return placed.join(repeated, [*keys, "_spread"]).drop("_spread")
+
+
+def left_join_known(rows: DataFrame, right: DataFrame, keys: Sequence[str], parts: int = 64) -> DataFrame:
+    """Left equi-join in which rows with a null key, which match nothing, are dealt over ``parts`` places."""
+    unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    place = F.when(unknown, F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) + 1).otherwise(0).cast("int")
+    joined = rows.withColumn("_spread", place).join(right.withColumn("_spread", F.lit(0)), [*keys, "_spread"], "left")
+    return joined.select(*rows.columns, *[c for c in right.columns if c not in keys])
+
+
 def _ascending_key(df: DataFrame, column: str, descending: bool) -> list[Column]:
     """Struct fields whose ascending order is the wanted order, nulls last."""
     value = F.col(column)

@@ -206,13 +206,14 @@ def job_burden(t):
         c("medication_start_context").alias("ctx"), c("opioid_mme_status").alias("mme"), c("renal_dose_mismatch_status").alias("renal"))
 
 
-@query("job_mapping", "q:s strategy:s status:s std:s ing:s conf:s amb:i n:i cls:s cls_st:s", """
+MAPPING_COLUMNS = "q:s strategy:s status:s std:s ing:s conf:s amb:i n:i cls:s cls_st:s"
+MAPPING_SQL = """
 WITH q AS (SELECT DISTINCT p_name AS q FROM part), w AS (SELECT q, split_part(q, ' ', 1) AS w1, split_part(q, ' ', 2) AS w2, length(q) % 3 AS z FROM q),
 k AS (SELECT 'c-' || q AS id, CASE z WHEN 0 THEN upper(q) WHEN 1 THEN left(q, length(q) - 1) ELSE 'zz ' || q END AS term, w1 IN ('red', 'blue') AS isin,
   CASE WHEN w1 NOT IN ('red', 'blue') AND w2 = 'ring' THEN 'morphine' END AS ingr FROM w),
 s AS (SELECT *, lower(trim(term)) AS key, CASE WHEN NOT isin AND ingr IS NOT NULL THEN ingr ELSE term END AS std, CASE WHEN isin THEN term ELSE ingr END AS ing,
   CASE WHEN isin THEN 'resolved_to_ingredient' WHEN ingr IS NOT NULL THEN 'resolved_via_related_concept' ELSE 'resolved_term_only_no_ingredient' END AS st FROM k),
-h AS (SELECT q, s.*, CASE WHEN q = key THEN 0 ELSE 1 END AS d FROM q JOIN s ON levenshtein(q, key) <= 1),
+h AS (SELECT q, s.*, levenshtein(q, key) AS d FROM q JOIN s ON levenshtein(q, key) <= {distance}),
 b AS (SELECT * FROM h WHERE d = (SELECT min(d) FROM h x WHERE x.q = h.q)),
 g AS (SELECT q, count(*) AS n, count(DISTINCT (std, coalesce(ing, ''), st)) = 1 AS ok, min(d) AS d, arg_min(std, key) AS std, arg_min(coalesce(ing, '?'), key) AS ing, arg_min(st, key) AS st FROM b GROUP BY 1),
 r AS (SELECT q.q, CASE WHEN d IS NULL THEN 'approximate_lookup_no_match' WHEN d = 0 THEN 'exact_or_normalized_raw_query' ELSE 'approximate_fallback' END AS strategy,
@@ -221,8 +222,10 @@ r AS (SELECT q.q, CASE WHEN d IS NULL THEN 'approximate_lookup_no_match' WHEN d
 SELECT q, strategy, CASE WHEN st IN ('resolved_to_ingredient', 'resolved_via_related_concept') THEN 'resolved' ELSE st END AS status, std, ing,
   CASE WHEN st LIKE 'unresolved%' THEN 'none' WHEN strategy LIKE 'exact%' AND n = 1 THEN 'high' WHEN strategy LIKE 'exact%' THEN 'medium' WHEN st = 'resolved_term_only_no_ingredient' THEN 'low' ELSE 'medium' END AS conf,
   CASE WHEN ok THEN (n > 1)::INT WHEN n > 0 THEN 1 ELSE 0 END AS amb, n, CASE WHEN lower(ing) = 'morphine' THEN 'opioid' ELSE 'unresolved' END AS cls,
-  CASE WHEN ing IS NULL THEN 'no_standardized_ingredient_available' WHEN lower(ing) = 'morphine' THEN 'supported_scope_class_assigned' ELSE 'supported_scope_unresolved' END AS cls_st FROM r""")
-def job_mapping(t):
+  CASE WHEN ing IS NULL THEN 'no_standardized_ingredient_available' WHEN lower(ing) = 'morphine' THEN 'supported_scope_class_assigned' ELSE 'supported_scope_unresolved' END AS cls_st FROM r"""
+
+
+def _mapped(t, distance):
     named = t.part.select(c("p_name").alias("medication_normalized"), c("p_name").alias("raw_medication_name"), c("p_name").alias("medication_name"))
     q = c("p_name")
     w1, w2, z = F.split_part(q, F.lit(" "), F.lit(1)), F.split_part(q, F.lit(" "), F.lit(2)), F.length(q) % 3
@@ -232,13 +235,24 @@ def job_mapping(t):
     concepts = t.part.select("p_name").distinct().select(
         F.concat(F.lit("c-"), q).alias("concept_id"), term.alias("term"), F.when(isin, "IN").otherwise("SCD").alias("term_type"),
         F.when(ingr.isNotNull(), "i-morphine").alias("ingredient_id"), ingr.alias("ingredient_name"))
-    m = mapping.build_mapping(mapping.mapping_queries(named), concepts)
+    m = mapping.build_mapping(mapping.mapping_queries(named), concepts, distance=distance)
     return m.select(
         c("medication_query_key").alias("q"), c("lookup_strategy_used").alias("strategy"), c("lookup_status").alias("status"),
         c("medication_standardized").alias("std"), c("ingredient_standardized").alias("ing"), c("mapping_confidence").alias("conf"),
         c("ambiguous_match_flag").alias("amb"), c("candidate_match_count").alias("n"), c("class_labels").alias("cls"), c("class_assignment_status").alias("cls_st"))
 
 
+@query("job_mapping", MAPPING_COLUMNS, MAPPING_SQL.format(distance=1))
+def job_mapping(t):
+    return _mapped(t, 1)
+
+
+@query("job_mapping_far", MAPPING_COLUMNS, MAPPING_SQL.format(distance=3))
+def job_mapping_far(t):
+    """The approximate look-up up to edit distance three: the terms that begin with two letters more are found too."""
+    return _mapped(t, 3)
+
+
 DX_SQL = """dx AS (SELECT o_custkey AS subject_id, l_orderkey AS k, o_orderstatus AS ward, l_suppkey % 8 AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 DX_FLAGS = "max((d IN (0, 4))::INT) AS ckd, max((d = 5)::INT) AS dem, max((d = 1)::INT) AS del, max((d IN (2, 6))::INT) AS hf, max((d IN (3, 7))::INT) AS dm"
 
