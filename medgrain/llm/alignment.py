@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medgrain.llm.common import map_columns, partitions, small_batches, stored, table, texts, tokenizer_file
-from medgrain.llm.pretokens import ODD_SPACE, gather, sums_by
+from medgrain.llm.pretokens import KnownPieces, gather, may_cut, split_words, sums_by
 
 BATCH_CHARS = 4 << 20
-MOST_PIECES, MOST_CHARS = 600_000, 16 << 20
+MOST_PIECES, MOST_CHARS = 500_000, 16 << 20
 TOGETHER, LEARNT = 200, 4000
 SHIFT = 17  # ids of either tokenizer are below 2 ** SHIFT
 PAIRS_AT_ONCE = 1 << 21
@@ -121,14 +121,14 @@ class Lexicon:
         # Rendered tokens with what comes after them: A in a group, last A, B in a group, last B.
         n_a, n_b = len(a_bytes), len(b_bytes)
         self.shown = [b"%d%c" % (i, c) for n, c in ((n_a, 44), (n_a, 124), (n_b, 44), (n_b, 59)) for i in range(n)]
+        self.shown_size = np.array([len(x) for x in self.shown], np.int32)
         self.offset = np.array([0, n_a, 2 * n_a, 2 * n_a + n_b])
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.rendered: list[bytes] = []
-        self.good: list[bool] = []
-        self.chars = 0
+        self.known, self.chars = KnownPieces(), 0
+        self.good = [np.zeros(0, bool)]
+        self.rendered, self.rendered_sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
         self.counts = [np.zeros((0, 4), np.int64)]  # A tokens, B tokens, groups, links
         self.link_sizes, self.link_pairs, self.link_times = ([np.zeros(0, np.int64)] for _ in range(3))
 
@@ -176,36 +176,40 @@ class Lexicon:
         order = np.argsort(key, kind="stable")
         last = np.append(np.diff(key[order]) != 0, True)
         shown = np.concatenate(ids)[order] + self.offset[2 * side[order] + last]
-        shown = list(map(self.shown.__getitem__, shown.tolist()))
-        ends = np.cumsum(sizes[0] + sizes[1]).tolist()
-        self.rendered += [b"".join(shown[i:j]) for i, j in zip([0, *ends], ends)]
+        self.rendered.append(np.frombuffer(b"".join(map(self.shown.__getitem__, shown.tolist())), np.uint8))
+        self.rendered_sizes.append(sums_by(self.shown_size[shown], sizes[0] + sizes[1]))
         n = len(pieces)
         groups = np.bincount(pieces_of[1][np.unique(labels[1])], minlength=n) if len(ids[1]) else np.zeros(n, np.int64)
         self.counts.append(np.stack([*sizes, groups, np.bincount(piece, times, n).astype(np.int64)], 1))
-        self.good += good.tolist()
+        self.good.append(good)
         self.link_sizes.append(np.bincount(piece, minlength=n))
         self.link_pairs.append(pair)
         self.link_times.append(times)
 
     def codes(self, some: list[str]) -> list[np.ndarray]:
         """Numbers of the pieces of each text."""
-        cut = [None if ODD_SPACE.search(" " + text) else text.split(" ") if text else [] for text in some]
-        new = sorted(set(itertools.chain.from_iterable(p for p in cut if p)).difference(self.code))
-        self.code.update(zip(new, range(len(self.good), len(self.good) + len(new))))
-        self.learn(new)
-        out = []
-        for text, pieces in zip(some, cut):
-            if pieces is None:
+        odd = [not may_cut(" " + text) for text in some]
+        words, indices, offsets = split_words([text for text, o in zip(some, odd) if text and not o])
+        numbers, new = self.known.numbers(words)
+        self.learn([words[i] for i in new.tolist()])
+        numbers = numbers[indices]
+        out, at = [], 0
+        for text, o in zip(some, odd):
+            if not text:
+                out.append(numbers[:0])
+            elif o:
                 self._learn([text])
-                out.append(np.array([len(self.good) - 1]))
+                out.append(self.known.added(1))
             else:
-                out.append(np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces)))
+                out.append(numbers[offsets[at]:offsets[at + 1]])
+                at += 1
         return out
 
     def arrays(self) -> tuple[np.ndarray, ...]:
-        for x in (self.counts, self.link_sizes, self.link_pairs, self.link_times):
+        held = (self.counts, self.link_sizes, self.link_pairs, self.link_times, self.good, self.rendered, self.rendered_sizes)
+        for x in held:
             x[:] = [np.concatenate(x)]
-        return self.counts[0], self.link_sizes[0], self.link_pairs[0], self.link_times[0]
+        return tuple(x[0] for x in held)
 
 
 def holders_of(codes: np.ndarray, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pairs: np.ndarray,
@@ -238,8 +242,7 @@ def batches_of_pieces(rows: Iterator[dict], json: str, model: bytes, batch_chars
 
     def flush() -> tuple:
         codes = lexicon.codes(held)
-        counts, link_sizes, link_pairs, link_times = lexicon.arrays()
-        good = np.array(lexicon.good, bool)
+        counts, link_sizes, link_pairs, link_times, good, rendered, rendered_sizes = lexicon.arrays()
         kept = [c if good[c].all() else c[:0] for c in codes]
         lengths = np.array([len(c) for c in kept], np.int64)
         used, local = np.unique(np.concatenate([np.zeros(0, np.int64), *kept]), return_inverse=True)
@@ -249,13 +252,13 @@ def batches_of_pieces(rows: Iterator[dict], json: str, model: bytes, batch_chars
         times = gather(used, starts, link_sizes, link_times)
         sums = [sums_by(counts[used, k][local], lengths).tolist() for k in range(4)]
         holders = holders_of(local, lengths, np.cumsum(sizes) - sizes, sizes, place, max(1, len(pairs)))[:len(pairs)]
-        rendered = [lexicon.rendered[i] for i in used.tolist()]
+        shown = gather(used, np.cumsum(rendered_sizes) - rendered_sizes, rendered_sizes, rendered).tobytes()
         out = ([uuid.uuid4().hex], [list(ids)], *([s] for s in sums), [pack(lengths)], [pack(local)],
-               [zstandard.compress(b"".join(rendered), 1)], [pack(np.array([len(r) for r in rendered], np.int64))],
+               [zstandard.compress(shown, 1)], [pack(rendered_sizes[used])],
                [pack(sizes)], [pack(place)], [pack(times)], [pack(pairs)], [pack(holders)])
         ids.clear()
         held.clear()
-        if len(lexicon.good) > MOST_PIECES or lexicon.chars > MOST_CHARS:
+        if lexicon.known.count > MOST_PIECES or lexicon.chars > MOST_CHARS:
             lexicon.clear()
         return out
 

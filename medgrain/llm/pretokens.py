@@ -12,13 +12,59 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ODD_SPACE = re.compile(r" (?=\s|\Z)")
 
 
+def may_cut(text: str) -> bool:
+    """Whether cutting the text at its spaces is exact."""
+    return not ODD_SPACE.search(text)
+
+
 def cut(text: str) -> list[str] | None:
     """The text between its spaces, or nothing where that would not be exact."""
-    return None if ODD_SPACE.search(text) else text.split(" ")
+    return text.split(" ") if may_cut(text) else None
+
+
+def split_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pieces between the texts' spaces, the number of each piece in text order, and the texts' bounds."""
+    cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    words = cut.values.dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(), cut.offsets.to_numpy()
+
+
+class KnownPieces:
+    """Numbers of pieces, known by a hash of 128 bits, in sorted arrays of 24 bytes a piece."""
+
+    def __init__(self):
+        self.keys = np.zeros((0, 2), np.uint64)  # in order of the first half
+        self.place = np.zeros(0, np.int64)
+        self.count = 0
+
+    def numbers(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of distinct pieces, and which of them are new; new ones are numbered on in their order."""
+        import xxhash
+
+        raw = b"".join([xxhash.xxh3_128_digest(p) for p in pieces])
+        keys = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)
+        at = np.searchsorted(self.keys[:, 0], keys[:, 0])
+        here = np.minimum(at, max(0, len(self.keys) - 1))
+        known = (self.keys[here] == keys).all(1) if len(self.keys) else np.zeros(len(keys), bool)
+        out = np.zeros(len(keys), np.int64)
+        out[known] = self.place[here[known]]
+        new = np.flatnonzero(~known)
+        out[new] = self.added(len(new))
+        order = new[np.argsort(keys[new, 0], kind="stable")]
+        self.keys = np.insert(self.keys, at[order], keys[order], axis=0)
+        self.place = np.insert(self.place, at[order], out[order])
+        return out, new
+
+    def added(self, n: int) -> np.ndarray:
+        """Numbers for ``n`` pieces more, which need not be known again."""
+        self.count += n
+        return np.arange(self.count - n, self.count)
 
 
 def gather(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
