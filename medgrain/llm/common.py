@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from medgrain.sources.storage import scratch
+from medgrain.sources.storage import delete, scratch
 
 #: Words of every contract: runs of anything but the space and the five control characters after the tab.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +43,53 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark deletes them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Cuts:
+    """Stored cuts of one computation, each deleted when its last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = folder(self.spark, name)
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, key: str, compression: str) -> DataFrame:
+        """``df`` in buckets of ``key``: joins on it need no further shuffle of these rows."""
+        path = folder(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        return bucketed(df, name, key, compression, path)
+
+    def drop(self, *names: str, but_last: bool = False) -> None:
+        for name in names:
+            held = self.paths.get(name, [])
+            for path in held[:len(held) - but_last]:
+                delete(self.spark, path)
+            self.paths[name] = held[len(held) - but_last:]
+        release(self.spark)
+
+    def clear(self) -> None:
+        self.drop(*self.paths)
+
+
+def bucketed(df: DataFrame, name: str, key: str, compression: str, path: str | None = None) -> DataFrame:
+    """``df`` written in as many buckets of ``key`` as shuffles have partitions. The catalog holds its name only until
+    the frame is bound to the files."""
+    spark, named = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    (df.write.format("parquet").option("path", path or folder(spark, name)).option("compression", compression)
+     .bucketBy(partitions(spark), key).saveAsTable(named))
+    out = spark.table(named)
+    spark.sql(f"DROP TABLE {named}")
+    return out
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and the columns in ``more``; anything else a table carries is left out."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
@@ -57,12 +108,21 @@ def give_back() -> None:
         trim(0)
 
 
-def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], ddl: str) -> DataFrame:
+def kept_by_worker(name: str, make: Callable[[], object]) -> object:
+    """A value that this Python worker keeps for its later tasks; a new worker makes its own."""
+    home = sys.modules.setdefault("_medgrain_worker", types.ModuleType("_medgrain_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)
+
+
+def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], kind: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over column lists: ``fn`` takes dicts of Python lists and yields tuples of lists or arrays.
 
-    Lists keep nulls and 64-bit integers as they are, which pandas would turn into floats.
+    ``kind`` is the result's schema. Lists keep nulls and 64-bit integers as they are, which pandas would turn into
+    floats.
     """
-    schema = T.StructType.fromDDL(ddl)
+    schema = T.StructType.fromDDL(kind) if isinstance(kind, str) else kind
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

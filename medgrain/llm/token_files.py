@@ -5,8 +5,8 @@ id list is dictionary-coded (bit-packed indexes into at most the vocabulary's id
 row groups and pages have a set size, and the page index lets a filter on ``doc_id`` skip pages. Reading lengths or
 offsets touches no token page.
 
-The library encodes each distinct piece of a task once (see ``pretokens``); texts it may not cut are encoded whole, as
-are texts that hold the string of an added token, which becomes that token's id as in the library alone. The
+The library encodes each distinct piece of a worker's tasks once (see ``pretokens``); texts it may not cut are encoded
+whole, as are texts that hold the string of an added token, which becomes that token's id as in the library alone. The
 table of known pieces is bounded by ``max_pieces`` and starts anew when it is full, which changes no result.
 
 Null and empty texts hold the end id alone; rows with the same id stay in order of their text.
@@ -14,6 +14,8 @@ Null and empty texts hold the end id alone; rows with the same id stay in order
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from medgrain.llm.common import folder, map_columns, table, texts, tokenizer_file
-from medgrain.llm.pretokens import cut, gather, sums_by
+from medgrain.llm.common import folder, kept_by_worker, map_columns, table, texts, tokenizer_file
+from medgrain.llm.pretokens import KnownPieces, gather, may_cut, split_words, sums_by
 
 #: Parquet layout: delta-coded metadata, dictionary-coded tokens, small pages with an index.
 LAYOUT = {
@@ -42,7 +45,10 @@ COLUMNS = "shard int, doc_id long, local_start long, n_tokens long, token_ids ar
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizer of the tokenizers library, each known piece once."""
+    """Encodes texts with a tokenizer of the tokenizers library, each known piece once.
+
+    Pieces are words with the space before them; some 40 bytes are held of each.
+    """
 
     def __init__(self, json: str, max_pieces: int):
         from tokenizers import Tokenizer
@@ -56,55 +62,54 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.parts, self.sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        self.known = KnownPieces()
+        self.sizes, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def plain(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str], together: int = 100) -> None:
-        """Encode unseen pieces, each with the space before it; a token that opens with a space starts a piece."""
-        for at in range(0, len(pieces), together):
-            some = pieces[at:at + together]
-            ids = np.array(self.plain([" " + " ".join(some)])[0], np.uint32)
-            first = np.flatnonzero(self.opens[ids])
-            if len(first) == len(some):
-                sizes = np.diff(np.append(first, len(ids)))
-            else:
-                lists = self.plain([" " + p for p in some])
-                ids, sizes = np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists])
-            self.code.update(zip(some, range(len(self.code), len(self.code) + len(some))))
-            self.parts.append(ids)
-            self.sizes.append(sizes)
+    def _encoded(self, pieces: list[str], together: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, each with the space before it, and how many each has; a token that opens with a space
+        starts a piece."""
+        lists = self.plain([" " + " ".join(pieces[i:i + together]) for i in range(0, len(pieces), together)])
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.int32)
+        first = np.flatnonzero(self.opens[ids])
+        if len(first) == len(pieces):
+            return ids, np.diff(np.append(first, len(ids))).astype(np.int32)
+        lists = self.plain([" " + p for p in pieces])
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int32), np.array([len(x) for x in lists], np.int32)
+
+    def _codes(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of distinct pieces among those known; unseen ones are encoded."""
+        if len(self.sizes) + len(pieces) > self.max_pieces:
+            self._clear()
+        codes, new = self.known.numbers(pieces)
+        if len(new):
+            ids, sizes = self._encoded([pieces[i] for i in new.tolist()])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        return codes
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids."""
-        if len(self.code) > self.max_pieces:
-            self._clear()
-        heads, rest, counts = [], [], []
-        for text in batch:
-            pieces = None if self.added and self.added.search(text) else cut(text)
-            if pieces is None:
-                heads.append(text)
-                counts.append(1)
-            else:
-                heads.append(pieces[0])
-                counts.append(len(pieces))
-                rest += pieces[1:]
-        self._learn(list(set(rest).difference(self.code)))
-        whole = {h: i for i, h in enumerate(dict.fromkeys(heads))}
-        lists = self.plain(list(whole))
-        known = len(self.code)
-        self.sizes, self.parts = [np.concatenate(self.sizes)], [np.concatenate(self.parts)]
-        sizes = np.concatenate([self.sizes[0], np.array([len(x) for x in lists], np.int64)])
-        values = np.concatenate([self.parts[0], np.array([i for x in lists for i in x], np.uint32)])
-        counts = np.array(counts, np.int64)
+        whole = [bool(self.added and self.added.search(t)) or not may_cut(t) for t in batch]
+        words, indices, offsets = split_words([t for t, w in zip(batch, whole) if not w])
+        kept = self._codes(words)[indices]
+        # The first piece of a text has no space before it; a text that may not be cut is its own first piece.
+        heads = [t if w else t.split(" ", 1)[0] for t, w in zip(batch, whole)]
+        number = {h: i for i, h in enumerate(dict.fromkeys(heads))}
+        lists = self.plain(list(number))
+        counts = np.ones(len(batch), np.int64)
+        counts[~np.array(whole)] = np.diff(offsets)
         opens = np.cumsum(counts) - counts
         codes = np.empty(int(counts.sum()), np.int64)
-        is_rest = np.ones(len(codes), bool)
-        is_rest[opens] = False
-        codes[opens] = [known + whole[h] for h in heads]
-        codes[is_rest] = list(map(self.code.__getitem__, rest))
+        rest = np.ones(len(codes), bool)
+        rest[opens] = False
+        inner = np.ones(len(kept), bool)
+        inner[offsets[:-1] - offsets[0]] = False
+        codes[rest] = kept[inner]
+        codes[opens] = [len(self.sizes) + number[h] for h in heads]
+        sizes = np.concatenate([self.sizes, np.array([len(x) for x in lists], np.int32)]).astype(np.int64)
+        values = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), np.int32)])
         return sums_by(sizes[codes], counts), gather(codes, np.cumsum(sizes) - sizes, sizes, values)
 
 
@@ -120,13 +125,14 @@ def slices(rows: list[str], limit: int = 4 << 20) -> Iterator[slice]:
         yield slice(begin, len(rows))
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, max_pieces: int = 800_000) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, max_pieces: int = 3_000_000) -> None:
     """Write ``shard, doc_id, local_start, n_tokens, token_ids`` for each row of ``docs`` in ascending ``doc_id``."""
     with open(vocabulary) as f:
         json = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def encode(batches: Iterator[dict]) -> Iterator[tuple]:
-        encoder, position = PieceEncoder(json.value, max_pieces), 0
+        name = "pieces_" + hashlib.sha256(f"{max_pieces} {json.value}".encode()).hexdigest()
+        encoder, position = kept_by_worker(name, lambda: PieceEncoder(json.value, max_pieces)), 0
         for batch in batches:
             for part in slices(batch["text"]):
                 lengths, ids = encoder.encode(batch["text"][part])
@@ -172,7 +178,7 @@ def _bases(spark: SparkSession, path: str) -> DataFrame:
 def checksums(tokens: DataFrame) -> DataFrame:
     """``ids_crc32`` of each row's ids as little-endian unsigned 32-bit integers."""
     kept = [c for c in tokens.columns if c != "token_ids"]
-    schema = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in kept) + ", ids_crc32 long"
+    schema = T.StructType([*[tokens.schema[c] for c in kept], T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
