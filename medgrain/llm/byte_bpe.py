@@ -2,8 +2,9 @@
 
 1. Each task cuts its texts into pre-tokens and writes, for every batch of texts, the batch's distinct pre-tokens and
    each text's pre-tokens as positions in that list. Stored once, bucketed by batch.
-2. The distinct pre-tokens of all batches are dealt and sorted by word, so that each distinct word meets in one place
-   and is encoded once; a very common word has one row for each batch, not one for each use.
+2. The distinct pre-tokens of all batches are dealt by a hash of the word, packed in one row for each batch and hash
+   range, so that each distinct word meets in one place and is encoded once there (again where a range holds more than
+   ``MOST_WORDS``); a very common word is sent once for each batch, not once for each use.
 3. The ids go back to their batches packed, and each text's ids are put together by position.
 
 Decoding looks each id up in the token-byte table, which is as large as the vocabulary.
@@ -14,8 +15,10 @@ Null and empty texts have no ids. Every row of the input has a row in the output
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -23,10 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medgrain.llm.common import folder, map_columns, partitions, table, texts, tokenizer_file
+from medgrain.llm.common import bucketed, map_columns, partitions, table, texts, tokenizer_file
 from medgrain.llm.pretokens import cut, gather
 
 BATCH_CHARS = 8 << 20
+MOST_WORDS = 400_000
 BATCH = "batch string, doc_ids array<bigint>, counts array<int>, codes binary, words binary"
 
 
@@ -117,11 +121,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, batch_chars: int = BAT
     """``doc_id, ids`` for each row of ``docs``; ids are packed as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(ranks_of(rank_file))
-    name, n = f"words_{uuid.uuid4().hex}", partitions(spark)
-    (map_columns(texts(docs), lambda rows: batches_of_words(rows, pattern, batch_chars), BATCH)
-     .write.format("parquet").option("path", folder(spark, "words")).option("compression", "zstd")
-     .bucketBy(n, "batch").saveAsTable(name))
-    stored = spark.table(name)
+    n = partitions(spark)
+    stored = bucketed(map_columns(texts(docs), lambda rows: batches_of_words(rows, pattern, batch_chars), BATCH),
+                      "words", "batch", "zstd")
 
     def explode(rows: Iterator[dict]) -> Iterator[tuple]:
         import zstandard
@@ -129,43 +131,40 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, batch_chars: int = BAT
         for batch in rows:
             for key, packed in zip(batch["batch"], batch["words"]):
                 words = json.loads(zstandard.decompress(packed))
-                for at in range(0, len(words), 50_000):
-                    some = words[at:at + 50_000]
-                    yield some, [key] * len(some), list(range(at, at + len(some)))
+                part = np.array([zlib.crc32(w.encode()) for w in words], np.int64) % n
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(n), "right").tolist()
+                for k, (i, j) in enumerate(zip([0, *ends], ends)):
+                    if i < j:
+                        some = json.dumps([words[x] for x in order[i:j].tolist()], ensure_ascii=False).encode()
+                        yield [k], [key], [_pack(np.diff(order[i:j], prepend=0))], [zstandard.compress(some, 3)]
 
     def encode_words(rows: Iterator[dict]) -> Iterator[tuple]:
         import tiktoken
+        import zstandard
 
         encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        last, ids, held, size = None, [], {}, 0
-
-        def flush() -> tuple:
-            columns = list(zip(*[(k, _pack(np.array(at)), _pack(np.array(n)), _pack(np.array(i, np.uint32)))
-                                 for k, (at, n, i) in held.items()]))
-            held.clear()
-            return tuple(columns)
-
+        known: dict[str, list[int]] = {}
         for batch in rows:
-            for word, key, position in zip(batch["word"], batch["batch"], batch["position"]):
-                if word != last:
-                    last, ids = word, encoding.encode_ordinary(word)
-                entry = held.setdefault(key, ([], [], []))
-                entry[0].append(position)
-                entry[1].append(len(ids))
-                entry[2].extend(ids)
-            size += len(batch["word"])
-            if size >= 300_000:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
+            for key, steps, packed in zip(batch["batch"], batch["steps"], batch["words"]):
+                words = json.loads(zstandard.decompress(packed))
+                if len(known) > MOST_WORDS:
+                    known.clear()
+                for word in words:
+                    if word not in known:
+                        known[word] = encoding.encode_ordinary(word)
+                ids = list(map(known.__getitem__, words))
+                yield ([key], [steps], [_pack(np.fromiter(map(len, ids), np.int64, len(ids)))],
+                       [_pack(np.fromiter(itertools.chain.from_iterable(ids), np.int64))])
 
     def reassemble(rows: Iterator[dict]) -> Iterator[tuple]:
         for batch in rows:
             for doc_ids, counts, codes, parts in zip(*[batch[c] for c in ("doc_ids", "counts", "codes", "parts")]):
-                at, n, ids = ([_unpack(p[c]) for p in parts] for c in ("positions", "sizes", "ids"))
+                at, n, ids = ([_unpack(p[c]) for p in parts] for c in ("steps", "sizes", "ids"))
+                at = [np.cumsum(x.astype(np.int64)) for x in at]
                 none = np.zeros(0, "<u4")
-                at, n, values = np.concatenate([none, *at]), np.concatenate([none, *n]), np.concatenate([none, *ids])
+                at, n = np.concatenate([none.astype(np.int64), *at]), np.concatenate([none, *n])
+                values = np.concatenate([none, *ids])
                 n = n.astype(np.int64)
                 sizes, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 sizes[at], starts[at] = n, np.cumsum(n) - n
@@ -178,12 +177,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, batch_chars: int = BAT
                     begin = here[-1]
                     yield doc_ids[low:low + 256], part
 
-    words = map_columns(stored.select("batch", "words"), explode, "word string, batch string, position int")
+    words = map_columns(stored.select("batch", "words"), explode, "part int, batch string, steps binary, words binary")
     packed = map_columns(
-        words.repartition("word").sortWithinPartitions("word"), encode_words,
-        "batch string, positions binary, sizes binary, ids binary",
-    )
-    parts = packed.groupBy("batch").agg(F.collect_list(F.struct("positions", "sizes", "ids")).alias("parts"))
+        words.repartitionById(n, "part"), encode_words, "batch string, steps binary, sizes binary, ids binary")
+    parts = packed.groupBy("batch").agg(F.collect_list(F.struct("steps", "sizes", "ids")).alias("parts"))
     joined = stored.join(parts, "batch", "left").select(
         "doc_ids", "counts", "codes", F.coalesce("parts", F.array()).alias("parts"))
     return map_columns(joined, reassemble, "doc_id long, ids binary")
