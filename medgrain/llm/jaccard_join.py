@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medgrain.llm.common import folder, map_columns, partitions, small_batches, stored, table, texts
+from medgrain.llm.common import Cuts, map_columns, partitions, release, small_batches, stored, table, texts
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORDS, NUM, DEN = 5, 75, 100
@@ -238,7 +238,7 @@ def _subset_sizes(n: int, x: int) -> Iterator[tuple[int, int]]:
             yield other, size
 
 
-def _small_links(small: DataFrame, x: int) -> DataFrame:
+def _small_links(small: DataFrame, x: int, cuts: Cuts) -> DataFrame:
     """Edges between classes of at most ``x`` shingles: those that list an equal subset for the same two sizes."""
 
     def enumerate_subsets(rows: Iterator[dict]) -> Iterator[tuple]:
@@ -251,9 +251,9 @@ def _small_links(small: DataFrame, x: int) -> DataFrame:
                             for s in itertools.combinations(tokens, size)]
                     yield keys, [cid] * len(keys), [n] * len(keys), [n == other] * len(keys)
 
-    listed = stored(map_columns(small, enumerate_subsets, "key binary, cid long, n int, equal boolean"), "subsets")
+    listed = cuts.keep(map_columns(small, enumerate_subsets, "key binary, cid long, n int, equal boolean"), "subsets")
     # Marked with two sizes, sets of one size alone are not linked; with a set of the other size, all are connected.
-    groups = stored(listed.groupBy("key").agg(
+    groups = cuts.keep(listed.groupBy("key").agg(
         F.min("cid").alias("hub"), F.count("*").alias("m"), (F.first("equal") | (F.min("n") < F.max("n"))).alias("meet")
     ).where("m > 1 and meet").select("key", "hub"), "subset-groups")
     return listed.join(groups, "key").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
@@ -295,27 +295,30 @@ def feasible(a: str, b: str) -> str:
     return f"{DEN} * least({a}, {b}) >= {NUM} * greatest({a}, {b})"
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, cuts: Cuts) -> DataFrame:
     """``cid, comp``: the smallest id reachable over ``edges`` (a, b), for each id on an edge.
 
     Rounds of linking every neighbour of a node to the node's smallest neighbour, by joins and mergeable aggregates, until
     every edge leads to its component's smallest id.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
+    now = cuts.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
+                    "linked")
     state = None
     while True:
+        cuts.drop("linked-least", "linked-large", "linked-small")
+        cuts.drop("linked", but_last=True)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        least = cuts.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "linked-least")
         # Larger neighbours go to the smallest one; then smaller neighbours do.
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.where("a <> b").distinct(), name)
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = stored(large.join(stored(small, name), "a").select(
+        large = cuts.keep(large.where("a <> b").distinct(), "linked-large")
+        small = cuts.keep(large.groupBy("a").agg(F.min("b").alias("m")), "linked-small")
+        now = cuts.keep(large.join(small, "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-            .alias("e")).select("e.*").where("a <> b").distinct(), name)
+            .alias("e")).select("e.*").where("a <> b").distinct(), "linked")
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if found == state:
-            return now.select(F.col("a").alias("cid"), F.col("b").alias("comp"))
+            return cuts.keep(now.select(F.col("a").alias("cid"), F.col("b").alias("comp")), "components")
         state = found
 
 
@@ -323,19 +326,21 @@ def _labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return lists.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
-def _open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, comps: DataFrame, cuts: Cuts) -> DataFrame:
     """The lists that hold more than one component, with their length ``m``."""
-    rows = stored(_labelled(lists, comps), "labelled")
+    rows = cuts.keep(_labelled(lists, comps), "labelled")
     marks = [F.sum(F.xxhash64("cid", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (1, 2)]
     state = rows.groupBy("token").agg(
         F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), *marks).where("low < high")
     # The shingles of one passage are on the same sets; one of such lists speaks for all.
-    state = stored(state.groupBy("m", "mark1", "mark2").agg(F.min("token").alias("token")).select("token", "m"),
-                   "open-tokens")
-    return stored(rows.join(state, "token"), "open-lists")
+    state = cuts.keep(state.groupBy("m", "mark1", "mark2").agg(F.min("token").alias("token")).select("token", "m"),
+                      "open-tokens")
+    found = cuts.keep(rows.join(state, "token"), "open-lists")
+    cuts.drop("labelled", "open-tokens")
+    return found
 
 
-def _rare_lists(sets: DataFrame) -> DataFrame:
+def _rare_lists(sets: DataFrame, cuts: Cuts) -> DataFrame:
     """``token, cid, n``: the shared ones of the ``slack + 1`` shingles of each set that the fewest of ``sets`` hold.
 
     Linked sets lack at most ``slack`` shingles of each other, so these hold a common one.
@@ -348,8 +353,8 @@ def _rare_lists(sets: DataFrame) -> DataFrame:
                 for at in range(0, len(tokens), BLOCK_SHINGLES // 8):
                     yield [cid], [len(tokens)], [tokens[at:at + BLOCK_SHINGLES // 8].tolist()]
 
-    rows = stored(map_columns(sets, unpack, "cid long, n int, tokens array<bigint>").select(
-        "cid", "n", F.explode("tokens").alias("token")), "long-tokens")
+    rows = map_columns(sets, unpack, "cid long, n int, tokens array<bigint>").select(
+        "cid", "n", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     shared = rows.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
     least = F.ceil(F.col("n") * F.lit(NUM) / F.lit(DEN)).cast("int")  # n - slack
@@ -415,18 +420,25 @@ def _block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     return map_columns(placed, run, "a long, b long").distinct()
 
 
-def _long_links(ids: DataFrame, wholes: DataFrame, edges: DataFrame, comps: DataFrame, told: dict) -> DataFrame:
+def _long_links(ids: DataFrame, wholes: DataFrame, edges: DataFrame, comps: DataFrame, cuts: Cuts,
+                report: dict | None) -> DataFrame:
     """Links among the sets ``ids`` of long lists, enough to connect what is reachable: new lists by the rarest shingles of
     the whole sets, turns of checks of each set against one hub, then the lists that are still open."""
-    sets = stored(wholes.join(ids, "cid", "left_semi"), "long-sets")
-    lists = stored(_rare_lists(sets), "rare-lists")
+    sets = cuts.keep(wholes.join(ids, "cid", "left_semi"), "long-sets")
+    cuts.drop("open-heads")
+    lists = cuts.keep(_rare_lists(sets, cuts), "rare-lists")
+    release(cuts.spark)
     found = edges.limit(0)
     for turn in range(HUB_TURNS):
-        pairs = _hub_pairs(_open_lists(lists, comps), turn)
-        found = stored(found.unionByName(checked_pairs(pairs, sets).where(LINKED).select("a", "b")), "hub-links")
-        comps = stored(components(edges.unionByName(found)), "components")
-    open_ = _open_lists(lists, comps)
-    told["long"] = (sets.count(), found.count(), *open_.agg(F.count("*"), F.countDistinct("token"), F.max("m")).first())
+        pairs = _hub_pairs(_open_lists(lists, comps, cuts), turn)
+        found = cuts.keep(found.unionByName(checked_pairs(pairs, sets).where(LINKED).select("a", "b")), "hub-links")
+        comps = components(edges.unionByName(found), cuts)
+        cuts.drop("open-lists", "hub-links", "components", but_last=True)
+    open_ = _open_lists(lists, comps, cuts)
+    cuts.drop("rare-lists")
+    cuts.drop("open-lists", but_last=True)
+    if report is not None:
+        report["long"] = (sets.count(), found.count(), *open_.agg(F.count("*"), F.countDistinct("token"), F.max("m")).first())
     return found.unionByName(_block_links(open_.select("token", "cid", "n", "comp"), sets))
 
 
@@ -447,51 +459,62 @@ def _short_pairs(short: DataFrame) -> DataFrame:
     return map_columns(grouped.select("s"), run, "a long, b long").distinct()
 
 
-def class_components(classes: DataFrame, blocks: DataFrame, spark: SparkSession, report: dict | None = None) -> DataFrame:
-    """``cid, comp`` for the classes that are linked with another one."""
-    told = report if report is not None else {}
+def class_components(classes: DataFrame, blocks: DataFrame, cuts: Cuts, report: dict | None = None) -> DataFrame:
+    """``cid, comp`` for the classes that are linked with another one. ``blocks`` is dropped once it is read."""
+    spark = cuts.spark
+
+    def tell(**figures) -> None:
+        """Counts for a caller who asks; each is a job of its own."""
+        if report is not None:
+            report.update({k: f() for k, f in figures.items()})
+
     histogram = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 4 * SMALL_MOST).groupBy("n").count().collect()}
     x = boundary(histogram)
-    told["boundary"] = x
+    tell(boundary=lambda: x)
 
     def of_blocks(some: DataFrame) -> DataFrame:
         reps = some.groupBy("block").agg(F.collect_list(F.struct("idx", "cid")).alias("reps"))
         return blocks.select("block", "sizes", "sets").join(
             reps.select("block", F.sort_array("reps").alias("reps")), "block")
 
-    edges = stored(_small_links(_wholes(of_blocks(classes.where(F.col("n") <= x))), x), "edges")
+    edges = cuts.keep(_small_links(_wholes(of_blocks(classes.where(F.col("n") <= x))), x, cuts), "edges")
+    cuts.drop("subsets", "subset-groups")
     ranges = partitions(spark)
     large = of_blocks(classes.where(F.col("n") > slack_free(x)))
     counts = _counted(large, ranges).groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
-    heads = stored(_open_heads(large.join(counts, "block"), ranges), "open-heads")
+    heads = cuts.keep(_open_heads(large.join(counts, "block"), ranges), "open-heads")
+    cuts.drop("sets")
     wholes = heads.select("cid", "whole")
     entries = heads.select("cid", "n", F.explode("tokens").alias("token"))
-    hubs = stored(entries.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("cid", "n")).alias("hub"))
+    hubs = cuts.keep(entries.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("cid", "n")).alias("hub"))
                   .where("m > 1").select("token", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-    lists = stored(entries.join(hubs, "token"), "lists")
+    lists = cuts.keep(entries.join(hubs, "token"), "lists")
+    cuts.drop("hubs")
     votes = lists.where("cid <> hub and " + feasible("n", "hub_n")).groupBy("cid", "hub").count()
     first = votes.groupBy("cid").agg(F.max(F.struct("count", "hub")).alias("v")).select(
         F.least("cid", "v.hub").alias("a"), F.greatest("cid", "v.hub").alias("b")).distinct()
-    done = stored(checked_pairs(first, wholes), "checked")
+    done = cuts.keep(checked_pairs(first, wholes), "checked")
     edges = edges.unionByName(done.where(LINKED).select("a", "b"))
-    comps = components(edges)
-    lists = _open_lists(lists.select("token", "cid", "n"), comps)
+    comps = components(edges, cuts)
+    lists = _open_lists(lists.select("token", "cid", "n"), comps, cuts)
+    cuts.drop("lists")
     short = lists.where(F.col("m") <= SHORT_LIST)
-    told["open"] = lists.agg(F.count("*"), F.countDistinct("token"), F.max("m"), F.sum((F.col("m") > SHORT_LIST).cast("int"))).first()
+    tell(open=lists.agg(F.count("*"), F.countDistinct("token"), F.max("m"), F.sum((F.col("m") > SHORT_LIST).cast("int"))).first)
     pairs = _short_pairs(short.select("token", "cid", "n", "comp")).join(done.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = stored(pairs, "pairs")
-    told["pairs"] = pairs.count()
-    told["first"] = done.agg(F.count("*"), F.sum(F.expr(LINKED).cast("int"))).first()
-    told["heads"] = heads.agg(F.count("*"), F.sum(F.size("tokens")), F.sum("n")).first()
-    done = stored(checked_pairs(pairs, wholes), "checked")
-    told["second"] = done.agg(F.count("*"), F.sum(F.expr(LINKED).cast("int"))).first()
-    edges = stored(edges.unionByName(done.where(LINKED).select("a", "b")), "edges")
-    comps = stored(components(edges), "components")
-    ids = stored(lists.where(F.col("m") > SHORT_LIST).select("cid").distinct(), "long-ids")
+    pairs = cuts.keep(pairs, "pairs")
+    linked = [F.count("*"), F.sum(F.expr(LINKED).cast("int"))]
+    tell(pairs=pairs.count, first=done.agg(*linked).first, heads=heads.agg(F.count("*"), F.sum(F.size("tokens")), F.sum("n")).first)
+    done = cuts.keep(checked_pairs(pairs, wholes), "checked")
+    tell(second=done.agg(*linked).first)
+    edges = cuts.keep(edges.unionByName(done.where(LINKED).select("a", "b")), "edges")
+    comps = components(edges, cuts)
+    ids = cuts.keep(lists.where(F.col("m") > SHORT_LIST).select("cid").distinct(), "long-ids")
+    cuts.drop("pairs", "checked", "open-lists")
+    cuts.drop("edges", "components", but_last=True)
     if ids.isEmpty():
         return comps
-    edges = stored(edges.unionByName(_long_links(ids, wholes, edges, comps, told)), "edges")
-    return stored(components(edges), "components")
+    edges = cuts.keep(edges.unionByName(_long_links(ids, wholes, edges, comps, cuts, report)), "edges")
+    return components(edges, cuts)
 
 
 def jaccard_components(docs: DataFrame, report: dict | None = None) -> DataFrame:
@@ -502,22 +525,22 @@ def jaccard_components(docs: DataFrame, report: dict | None = None) -> DataFrame
 
 
 def _jaccard_components(spark: SparkSession, docs: DataFrame, report: dict | None) -> DataFrame:
-    name = f"sets_{uuid.uuid4().hex}"
-    (map_columns(texts(docs), _blocks, BLOCK).write.format("parquet").option("path", folder(spark, "sets"))
-     .option("compression", "none").bucketBy(partitions(spark), "block").saveAsTable(name))
-    blocks = spark.table(name)
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "sizes", "d1", "d2")).alias("idx", "r")).select(
-        "block", "idx", F.col("r.doc_ids").alias("doc_id"), F.col("r.sizes").alias("n"), "r.d1", "r.d2")
-    classes = stored(rows.where("n > 0").groupBy("d1", "d2", "n").agg(
+    cuts = Cuts(spark)
+    blocks = cuts.bucketed(map_columns(texts(docs), _blocks, BLOCK), "sets", "block", "none")
+    rows = cuts.keep(blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "sizes", "d1", "d2")).alias("idx", "r")).select(
+        "block", "idx", F.col("r.doc_ids").alias("doc_id"), F.col("r.sizes").alias("n"), "r.d1", "r.d2"), "rows")
+    classes = cuts.keep(rows.where("n > 0").groupBy("d1", "d2", "n").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("block", "idx")).alias("rep")
     ).select("d1", "d2", "n", "first_id", "rep.*", F.monotonically_increasing_id().alias("cid")), "classes")
-    comps = class_components(classes, blocks, spark, report)
+    comps = class_components(classes, blocks, cuts, report)
     labelled = classes.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = labelled.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    known = stored(labelled.join(least, "comp").select("d1", "d2", F.lit(1).alias("one"), "component_id"), "labels")
-    return rows.join(known, ["d1", "d2"], "left").select(
+    known = cuts.keep(labelled.join(least, "comp").select("d1", "d2", F.lit(1).alias("one"), "component_id"), "labels")
+    found = stored(rows.join(known, ["d1", "d2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("one").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("one").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "near-groups")
+    cuts.clear()
+    return found
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
@@ -526,7 +549,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     Documents without words are linked with nothing and stay. Of linked rows with one id, one stays; rows with a null
     id stay only where their group has no numbered row.
     """
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*docs.columns).alias("_row")), "rows")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), "rows")
     found = jaccard_components(rows.select(F.col("_at").alias("doc_id"), "_row.text"))
     ids = rows.select("_at", F.col("_row.doc_id").alias("id"))
     places = found.select(F.col("doc_id").alias("_at"), "component_id").join(ids, "_at")
