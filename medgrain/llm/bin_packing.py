@@ -1,11 +1,13 @@
 """Shards by vector bin packing: bytes, words and rows are balanced together.
 
 Groups of equal texts are dealt by hash into a fixed number of parcels, so a group stays together. A group that holds
-more than one parcel's fair share of bytes, words or rows becomes a parcel of its own, cut into cells by a hash of the
-id; ``cells_together`` cells are placed as one, so only a group above that many shares is spread over shards. There
-are at most seven times ``parcels`` cells, whatever the input, so their totals may be placed on the driver: in falling
-size, each where the dot product with the residual capacity is highest. The law held is ``bytes``. Slots are ranks
-inside a cell after the rows of the shard's earlier cells; no window spans a shard or a large group.
+more than one parcel's fair share of bytes, words or rows becomes a parcel of its own, counted by cells that a hash of
+the id makes. There are at most seven times ``parcels`` cells, whatever the input, so their totals may be placed on the
+driver: parcels in falling size, each whole where the dot product with the residual capacity is highest among the
+shards with room for it in bytes, words and rows. Only where no shard has that room are a parcel's cells placed one by
+one: such a group is larger than what is left of any shard, and to keep it whole would break the law, which is
+``bytes``. Slots are ranks inside a cell after the rows of the shard's earlier cells; no window spans a shard or a large
+group.
 
 Null texts have no bytes but the row's one; repeated rows get slots of their own; an empty table has no rows.
 """
@@ -25,19 +27,27 @@ WEIGHTS = np.array([4.0, 1.0, 1.0])
 DIMENSIONS = ["size", "words", "rows"]
 
 
-def place(parcels: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each parcel (rows of three totals), highest dot product with the residual capacity first."""
-    total = np.maximum(parcels.sum(axis=0), 1.0)
-    shares = parcels / total * WEIGHTS
+def place(parcels: list[np.ndarray], shards: int) -> list[list[int]]:
+    """Shard of each cell of each parcel (cells: rows of three totals), in order of falling size."""
+    whole = np.array([p.sum(axis=0) for p in parcels]).reshape(-1, 3)
+    total = np.maximum(whole.sum(axis=0), 1.0)
     room = np.tile(WEIGHTS / shards, (shards, 1))
-    out = np.zeros(len(parcels), int)
-    for i in np.lexsort((-parcels[:, 2], -parcels[:, 1], -parcels[:, 0])):
-        out[i] = int(np.argmax(room @ shares[i]))
-        room[out[i]] -= shares[i]
+    out: list[list[int]] = [[] for _ in parcels]
+    for i in np.lexsort((-whole[:, 2], -whole[:, 1], -whole[:, 0])).tolist():
+        share = whole[i] / total * WEIGHTS
+        fits = (room >= share - 1e-12).all(axis=1)
+        if fits.any() or len(parcels[i]) == 1:
+            best = int(np.argmax(np.where(fits | ~fits.any(), room @ share, -np.inf)))
+            room[best] -= share
+            out[i] = [best] * len(parcels[i])
+            continue
+        for cell in parcels[i] / total * WEIGHTS:
+            out[i].append(int(np.argmax(room @ cell)))
+            room[out[i][-1]] -= cell
     return out
 
 
-def pack(docs: DataFrame, shards: int = 8, parcels: int = 4096, cells_together: int = 32) -> DataFrame:
+def pack(docs: DataFrame, shards: int = 8, parcels: int = 4096) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for each row of ``docs``."""
     spark = docs.sparkSession
     text = F.col("text")
@@ -60,11 +70,11 @@ def pack(docs: DataFrame, shards: int = 8, parcels: int = 4096, cells_together:
     key = ["parcel", "cell"]
     units: dict = defaultdict(list)
     for r in dealt.groupBy(*key).agg(*sums).orderBy(*key).collect():
-        units[r["parcel"], r["cell"] // cells_together].append(r)
-    vectors = np.array([[sum(r[d] for r in u) for d in DIMENSIONS] for u in units.values()], float).reshape(-1, 3)
+        units[r["parcel"], r["cell"] < 0].append(r)
     filled, cells = [0] * shards, []
-    for unit, shard in zip(units.values(), place(vectors, shards).tolist()):
-        for r in unit:
+    vectors = [np.array([[r[d] for d in DIMENSIONS] for r in u], float) for u in units.values()]
+    for unit, shard_of in zip(units.values(), place(vectors, shards)):
+        for r, shard in zip(unit, shard_of):
             cells.append((r["parcel"], r["cell"], shard, filled[shard]))
             filled[shard] += r["rows"]
     where = spark.createDataFrame(cells, "parcel long, cell int, shard int, first long")
