@@ -194,9 +194,9 @@ def learn_words(found: list[tuple[str, int, int]], toxic_words: int, clean_words
     return Model({found[i][0]: float(np.clip(odds[i], -3, 5)) for i in np.flatnonzero(np.abs(z) >= least_z).tolist()})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 5000, prior: float = 1.0, least_z: float = 2.0,
-        most_words: int = 50_000) -> Model:
-    """A model learned from ``labels`` (``doc_id``, ``toxic``) and the texts of those ids in ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 5000, prior: float = 1.0, least_z: float = 2.0) -> Model:
+    """A model learned from ``labels`` (``doc_id``, ``toxic``) and the texts of those ids in ``docs``: every key of those
+    texts with a standard score of at least ``least_z`` either way."""
     ids, counts = pick(labels, per_label)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * per_label ids
 
@@ -222,10 +222,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 5000, prior: float
     nt, nc = totals["t"], totals["c"]
     by_key = map_columns(by_word, widen, "key string, t long, c long").groupBy("key").agg(
         F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # The keys that stand farthest from their expected share come first; rarer ones cannot be clear.
-    gap = F.abs(F.col("t") * nc - F.col("c") * nt) / F.sqrt((F.col("t") + F.col("c")) * F.lit(float(max(1, nt * nc))))
-    far = by_key.where("t + c >= 3").orderBy(F.desc(gap), "key").limit(most_words).collect()
-    model = learn_words([(r["key"], r["t"], r["c"]) for r in far], nt, nc, prior, least_z)
+    a, total, floor = F.lit(prior) * (F.col("t") + F.col("c")), prior * (nt + nc), F.lit(1e-9)
+    odds = {y: F.log(F.col(y) + a) - F.log(F.greatest(F.lit(n + total) - F.col(y) - a, floor)) for y, n in (("t", nt), ("c", nc))}
+    z = (odds["t"] - odds["c"]) / F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
+    far = by_key.where(F.abs(z) >= least_z - 1e-6).collect()  # keys of at most 2 * per_label texts
+    model = learn_words(sorted((r["key"], r["t"], r["c"]) for r in far), nt, nc, prior, least_z)
 
     def by_score(batches: Iterator[dict]) -> Iterator[tuple]:
         for batch in batches:
