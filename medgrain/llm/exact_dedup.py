@@ -29,6 +29,7 @@ ROW = 512
 CHUNK = 1 << 16
 LIMB = 21
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KEY = ["n_bytes", "f1", "f2"]
 
 
@@ -146,15 +147,19 @@ def differing(docs: DataFrame, prints: DataFrame) -> DataFrame:
                 yield tuple(zip(*out))
 
     kinds = "doc_id long, rep_id long, rep_sha string, text_sha256 string, chunk_no int, chunk binary"
-    rows = map_columns(texts(docs).join(pairs, "doc_id"), chunks, kinds)
-    is_rep = (F.col("doc_id") == F.col("rep_id")) & (F.col("text_sha256") == F.col("rep_sha"))
+    digest = F.sha2(F.translate("text", UPPER, UPPER.lower()), 256)
+    own = texts(docs).select(F.col("doc_id").alias("_own"), "text", digest.alias("_digest"))
+    met = own.join(pairs, F.col("_own").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("text_sha256")))
+    rows = map_columns(met.drop("_own", "_digest"), chunks, kinds)
+    is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_sha256") == F.col("rep_sha"))
     members = rows.where(~is_rep)
     reps = rows.where(is_rep).select(
         "rep_id", "rep_sha", "chunk_no", F.col("chunk").alias("rep_chunk")).dropDuplicates(
         ["rep_id", "rep_sha", "chunk_no"])
-    reps = stored(reps, "print-reps")
+    reps = stored(reps.withColumnsRenamed({c: f"_{c}" for c in ("rep_id", "rep_sha", "chunk_no")}), "print-reps")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("rep_id", "rep_sha", "chunk_no")]
     return (
-        members.join(reps, ["rep_id", "rep_sha", "chunk_no"])
+        members.join(reps, same[0] & same[1] & same[2])
         .where(F.col("chunk") != F.col("rep_chunk")).select("doc_id", "text_sha256").distinct()
     )
 
@@ -182,15 +187,16 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay; of rows repeated with one id and text, the largest stays."""
     found = stored(exact_duplicates(docs), "duplicates")
     sizes = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("group_size").alias("_size"))
-    sized = docs.join(sizes, F.col("doc_id").eqNullSafe(F.col("_id")))
-    alone = sized.where("_size = 1").select(*docs.columns)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(
+        *[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    sized = rows.join(sizes, F.col("doc_id").eqNullSafe(F.col("_id")))
+    alone = sized.where("_size = 1").select("_row")
+    digest = F.sha2(F.translate("text", UPPER, UPPER.lower()), 256)
     stay = found.where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
     rest = sized.where("_size > 1").withColumn("_digest", digest).join(
         stay, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_sha")))
-    one = rest.groupBy("_keep", "_sha").agg(F.max(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return alone.unionByName(one)
+    one = rest.groupBy("_keep", "_sha").agg(F.max("_row").alias("_row")).select("_row")
+    return alone.unionByName(one).select("_row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medgrain.llm.common import fold, map_columns, table
 
@@ -233,8 +234,10 @@ def identify(docs: DataFrame, langs: list[str], weights: dict, keep: tuple[str,
                 at = stop
             yield (batch["doc_id"], *[batch[c] for c in keep], names, scores, agreeing)
 
-    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return map_columns(rows, run, f"doc_id long, {kinds}lang_pred string, score double, agreeing double")
+    kind = T.StructType([T.StructField("doc_id", T.LongType()), *[docs.schema[c] for c in keep],
+                         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                         T.StructField("agreeing", T.DoubleType())])
+    return map_columns(rows, run, kind)
 
 
 def keep_known(docs: DataFrame, langs: list[str], weights: dict) -> DataFrame:
@@ -243,7 +246,7 @@ def keep_known(docs: DataFrame, langs: list[str], weights: dict) -> DataFrame:
     Neither the mix of languages in a text nor the network's certainty rejects it. Where no language could be learned,
     every text with a letter stays.
     """
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")).where(F.col("text").rlike(r"\p{L}"))
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).where(F.col("text").rlike(r"\p{L}"))
     if not langs:
         return rows.select("_row.*")
     return identify(rows, langs, weights, keep=("_row",)).where(F.col("lang_pred") != "und").select("_row.*")

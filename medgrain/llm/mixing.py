@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medgrain.llm.common import WORD, map_columns, ordered, partitions, stored, table
 
@@ -148,7 +149,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     A document whose words are all taken equally often is repeated whole; parts of one are joined by a line end.
     """
-    found = plan(docs.withColumn("_row", F.struct(*docs.columns)), keep=("_row",), **settings)
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    found = plan(whole, keep=("_row",), **settings)
     spans = found.spans.groupBy("_index").agg(F.sort_array(F.collect_list(F.struct("low", "high", "takes"))).alias("s"))
     joined = found.rows.join(spans, "_index").select(
         F.col("_row.text").alias("text"), "size", "s", F.col("_row").alias("row"))
@@ -176,10 +178,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
                     out_texts.append(made)
             yield out_rows, out_texts
 
-    kind = docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString()
-    made = map_columns(joined, copies, f"row {kind}, made string")
+    kind = T.StructType([T.StructField("row", docs.schema), T.StructField("made", T.StringType())])
+    made = map_columns(joined, copies, kind)
     fixed = {"text": F.col("made"), "n_chars": F.char_length("made").cast("long")}
-    return made.select(*[fixed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    return made.select(*[fixed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
