@@ -61,7 +61,7 @@ def awkward_vectors() -> list[tuple]:
     rows += [(50, [1.0] * 6), (None, rows[7][1]), (None, None), (400, None), (450, [1.0, None, 0, 0, 0, 0]),
              (500, [float("nan")] * 6), (550, [1.0, float("inf"), 0, 0, 0, 0]), (600, []), (650, [2.0]), (700, [0.0] * 6),
              (750, [1e30, -1e30, 1e30, 0, 0, 0]), (751, [1e30, 1e30, 0, 0, 0, 0]), (752, [5e9, 3.5, 0, 0, 0, 0]), rows[5]]
-    return [(*r, 0) for r in rows]
+    return [(v, e if e is None else [x if x is None else float(x) for x in e], 0) for v, e in rows]
 
 
 @pytest.mark.parametrize("head, block, group", [(4096, 2048, 64 << 20), (16, 7, 20 * 8 * 6), (8, 64, 64 << 20)])
