@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medgrain.llm.common import map_columns, partitions, small_batches, stored, table, texts, tokenizer_file
+from medgrain.llm.common import bucketed, map_columns, partitions, small_batches, stored, table, texts, tokenizer_file
 from medgrain.llm.pretokens import KnownPieces, gather, may_cut, split_words, sums_by
 
 BATCH_CHARS = 4 << 20
@@ -279,8 +279,8 @@ def align(docs: DataFrame, json_file: str, model_file: str, batch_chars: int = B
     with open(json_file) as f, open(model_file, "rb") as g:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
     with small_batches(docs.sparkSession):
-        return stored(map_columns(
-            texts(docs), lambda rows: batches_of_pieces(rows, *shared.value, batch_chars), BATCH), "aligned")
+        return bucketed(map_columns(texts(docs), lambda rows: batches_of_pieces(rows, *shared.value, batch_chars), BATCH),
+                        "aligned", "batch", "zstd")
 
 
 def _range_of(pairs: np.ndarray, ranges: int) -> np.ndarray:
