@@ -120,6 +120,11 @@ BUCKET_STEMS = {
     "terrain_aggravating_context": "Patient context aggravates medication risk",
     "dynamic_biologic_vital_evidence": "Dynamic clinical evidence raises concern",
 }
+BUCKET_LABELS = {
+    "base_medication_risk": "Base Medication Risk",
+    "terrain_aggravating_context": "Terrain / Aggravating Patient Context",
+    "dynamic_biologic_vital_evidence": "Dynamic Biologic / Vital Evidence",
+}
 NO_ALERT_TEXT = "No strong immediate deprescribing alert from the current structured evidence."
 NO_RULE_TEXT = "no major structured IPD rule triggered"
 QUEUE_WEIGHTS = {

@@ -112,12 +112,14 @@ def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def rule_score(df: DataFrame, rules: list[Rule], caps: dict[str, int] | None = None,
-               stems: dict[str, str] | None = None, fragments: int | None = None) -> DataFrame:
+               stems: dict[str, str] | None = None, fragments: int | None = None,
+               labels: dict[str, str] | None = None) -> DataFrame:
     """Capped bucket points, total, level, ordered reasons, alert text and evidence JSON.
 
-    The alert holds all fragments of its bucket, or the first ``fragments``.
+    The alert holds all fragments of its bucket, or the first ``fragments``. The evidence holds the values that the
+    rules that hit have read, the label of each bucket and its reasons.
     """
-    caps, stems = caps or K.BUCKET_CAPS, stems or K.BUCKET_STEMS
+    caps, stems, labels = caps or K.BUCKET_CAPS, stems or K.BUCKET_STEMS, labels or K.BUCKET_LABELS
     hits = df.select("*", *[r.test.alias(f"_hit_{r.name}") for r in rules])
     hit = {r.name: F.col(f"_hit_{r.name}") for r in rules}
     bucket = {
@@ -150,9 +152,10 @@ def rule_score(df: DataFrame, rules: list[Rule], caps: dict[str, int] | None = N
         for name in r.evidence:
             used = fields.get(name, F.lit(False))
             fields[name] = used | hit[r.name]
-    evidence = (
-        F.to_json(F.struct(*[F.when(fields[n], F.col(n)).alias(n) for n in sorted(fields)])) if fields else F.lit("{}")
-    )
+    parts = {n: F.when(used, F.col(n)) for n, used in fields.items()}
+    parts["bucket_labels"] = F.struct(*[F.lit(labels.get(b, b)).alias(b) for b in sorted(caps)])
+    parts["bucket_reasons"] = F.struct(*[texts(lambda r: r.reason, b).alias(b) for b in sorted(caps)])
+    evidence = F.to_json(F.struct(*[parts[n].alias(n) for n in sorted(parts)]))
     reasons = texts(lambda r: r.reason)
     return scored.select(
         *df.columns,

@@ -178,11 +178,16 @@ def rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
-def json_set_union(column: str, limit_to: Sequence[str] | None = None) -> Column:
-    """Aggregate: sorted distinct items of JSON lists. The items are a fixed vocabulary (table names, tags)."""
-    items = F.from_json(F.col(column), "array<string>")
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_set(items))))
-    return F.filter(merged, lambda x: x.isin(*limit_to)) if limit_to else merged
+def json_set_union(df: DataFrame, keys: Sequence[str], column: str, out: str,
+                   limit_to: Sequence[str] | None = None) -> DataFrame:
+    """``keys, out``: the sorted distinct items of a key's JSON lists, a fixed vocabulary (table names, tags).
+
+    Distinct items are found before the keys meet, so a key is as long as its vocabulary, not as its lists.
+    """
+    items = df.select(*keys, F.explode_outer(F.from_json(F.col(column), "array<string>")).alias("_item"))
+    if limit_to:
+        items = items.withColumn("_item", F.when(F.col("_item").isin(*limit_to), F.col("_item")))
+    return items.distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("_item")).alias(out))
 
 
 def top_row_summary(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str], score: str,

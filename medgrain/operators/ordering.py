@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medgrain.operators.skew import _sort_columns, join_null_safe, ranked
+from medgrain.operators.skew import _sort_columns, join_null_safe, ranked, ranked_together
 
 
 def ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -66,18 +66,18 @@ def event_ids(df: DataFrame, prefix: str, scope: Sequence[str], order: Sequence[
     return numbered.select(*df.columns, text.alias(out))
 
 
-def interleaved(df: DataFrame, level: str, group: str, order: Sequence[str], levels: Sequence[str],
+def interleaved(df: DataFrame, level: str, group: str, order: Sequence[str], levels: Sequence[str], ids: Sequence[str],
                 out: str = "position") -> DataFrame:
     """Rotate levels, and within a level prefer groups seen less often so far.
 
     A row's turn in its (level, group) comes first, then ``order``; rows then take rounds
-    by level.
+    by level. ``ids`` name a row.
     """
-    turn = ranked(df, [level, group], order, "_turn")
-    within = ranked(turn, [level], ["_turn", *order], "_round")
     place = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(level))
-    placed = within.where(place > 0).withColumn("_place", place)
-    return ranked(placed, [], ["_round", "_place", *order], out).select(*df.columns, out)
+    placed = df.withColumn("_place", place).where("_place > 0")
+    found = ranked_together(placed, ids, [
+        ("_turn", [level, group], order), ("_round", [level], ["_turn", *order]), (out, [], ["_round", "_place", *order])])
+    return found.select(*df.columns, out)
 
 
 def split_subjects(subjects: DataFrame, subject: str, stratum: str, fractions: dict[str, float], seed: int) -> DataFrame:

@@ -123,6 +123,21 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
     return joined.select(*df.columns, number)
 
 
+def ranked_together(df: DataFrame, ids: Sequence[str],
+                    specs: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """Several row numbers ``(name, keys, order)``, each of which may use the ones before it, for rows that ``ids`` name.
+
+    Only ``ids``, the keys and the order columns are sorted and cut; the numbers are joined back once.
+    """
+    names = [name for name, _, _ in specs]
+    needed = dict.fromkeys([*ids, *[c for _, keys, order in specs for c in (*keys, *[o.lstrip("-") for o in order])
+                                    if c not in names]])
+    narrow = df.select(*needed)
+    for name, keys, order in specs:
+        narrow = ranked(narrow, keys, order, name)
+    return join_null_safe(df, durable(narrow.select(*ids, *names)), ids)
+
+
 def _local(kind: str, column: Column) -> Column:
     if kind in ("sum", "count"):
         return F.sum(column)

@@ -6,15 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medgrain import constants as K
 from medgrain.operators.aggregates import count_if
 from medgrain.operators.joins import checked_join
+from medgrain.operators.quantiles import exact_quantile
 
 MISSING = "__missing__"
 SUSPICIOUS = ("label__", "benchmark__", "meta__", "prediction__", "score", "outcome")
@@ -45,6 +46,7 @@ class Preparation:
     categorical: list[str]
     dropped_all_missing: list[str]
     dropped_constant: list[str]
+    medians: dict[str, float] = field(default_factory=dict)
     model: PipelineModel | None = field(default=None, compare=False)
 
 
@@ -70,13 +72,22 @@ def column_profile(train: DataFrame, features: Sequence[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def _shape(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+def _shape(df: DataFrame, medians: dict[str, float], categorical: Sequence[str]) -> DataFrame:
     return df.select(
-        "*", *[F.col(c).cast("double").alias(f"_num_{c}") for c in numeric],
+        "*", *[F.coalesce(F.col(c).cast("double"), F.lit(m)).alias(f"_num_{c}") for c, m in medians.items()],
         *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(f"_cat_{c}") for c in categorical],
     )
 
 
+def train_medians(train: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
+    """Exact medians of the known values, all columns in one pass over long rows."""
+    if not numeric:
+        return {}
+    long = train.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in numeric])))
+    return {r["name"]: r["m"] for r in exact_quantile(long, ["name"], "v", 0.5, "m").collect()}  # one row per feature
+
+
 def fit_preparation(train: DataFrame, features: Sequence[str], scale: bool = False) -> Preparation:
     """Median imputation and one-hot encoding learnt from the training rows only."""
     decided = column_profile(train, features).collect()  # one row per feature
@@ -92,11 +103,8 @@ def fit_preparation(train: DataFrame, features: Sequence[str], scale: bool = Fal
     if not numeric and not categorical:
         return out
     stages, inputs = [], []
-    if numeric:
-        names = [f"_num_{c}" for c in numeric]
-        filled = [f"_fill_{c}" for c in numeric]
-        stages.append(Imputer(strategy="median", inputCols=names, outputCols=filled))
-        inputs += filled
+    medians = train_medians(train, numeric)
+    inputs += [f"_num_{c}" for c in medians]
     for c in categorical:
         stages += [
             StringIndexer(inputCol=f"_cat_{c}", outputCol=f"_ix_{c}", handleInvalid="keep", stringOrderType="alphabetAsc"),
@@ -106,12 +114,12 @@ def fit_preparation(train: DataFrame, features: Sequence[str], scale: bool = Fal
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_raw" if scale else "features_vec"))
     if scale:
         stages.append(StandardScaler(inputCol="_raw", outputCol="features_vec", withMean=True, withStd=True))
-    model = Pipeline(stages=stages).fit(_shape(train, numeric, categorical))
-    return Preparation(numeric, categorical, out.dropped_all_missing, out.dropped_constant, model)
+    model = Pipeline(stages=stages).fit(_shape(train, medians, categorical))
+    return Preparation(numeric, categorical, out.dropped_all_missing, out.dropped_constant, medians, model)
 
 
 def prepare(df: DataFrame, prep: Preparation) -> DataFrame:
-    made = prep.model.transform(_shape(df, prep.numeric, prep.categorical))
+    made = prep.model.transform(_shape(df, prep.medians, prep.categorical))
     return made.select(*df.columns, "features_vec")
 
 
@@ -136,6 +144,56 @@ def skip_reason(name: str, counts: dict[int, int], prep: Preparation | None) ->
     return None
 
 
+def balanced_weight(label: str, counts: dict[int, int]) -> Column:
+    """Weights under which all classes of the label count alike, with a mean of one."""
+    total, weight = sum(counts.values()), F.lit(0.0)
+    for k, n in counts.items():
+        weight = F.when(F.col(label) == k, total / (len(counts) * float(n))).otherwise(weight)
+    return weight
+
+
+def fit_binary(train: DataFrame, label: str, prep: Preparation, counts: dict[int, int]) -> LogisticRegressionModel:
+    """The balanced L2 logistic model on the prepared training rows."""
+    made = prepare(train, prep).withColumn("_w", balanced_weight(label, counts))
+    return LogisticRegression(
+        featuresCol="features_vec", labelCol=label, weightCol="_w", regParam=1.0 / (BINARY_C * sum(counts.values())),
+        elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10,
+    ).fit(made)
+
+
+def preparation_report(train: DataFrame, prep: Preparation) -> DataFrame:
+    """``check, feature, value``: what the fitted preparation does, read from its vectors on the training rows.
+
+    Medians and dropped columns, the width of each one-hot block, and how many rows have exactly one (known value, not
+    the last category) or no entry in it.
+    """
+    spark = train.sparkSession
+    facts = [("median", c, float(m)) for c, m in prep.medians.items()]
+    facts += [("all_missing", c, 1.0) for c in prep.dropped_all_missing] + [("constant", c, 1.0) for c in prep.dropped_constant]
+    made = prep.model.transform(_shape(train, prep.medians, prep.categorical))
+    hot = [vector_to_array(F.col(f"_oh_{c}")) for c in prep.categorical]
+    one = made.agg(*[x for i, h in enumerate(hot) for x in (
+        F.max(F.size(h)).alias(f"_w{i}"), F.sum(F.aggregate(h, F.lit(0.0), lambda a, b: a + b)).alias(f"_s{i}"))])
+    rows = F.array(*[F.struct(F.lit(check).alias("check"), F.lit(c).alias("feature"), F.col(f"_{k}{i}").cast("double").alias("value"))
+                     for i, c in enumerate(prep.categorical) for check, k in (("width", "w"), ("entries", "s"))])
+    return spark.createDataFrame(facts, "check string, feature string, value double").unionByName(one.select(F.inline(rows)))
+
+
+def gradient(train: DataFrame, label: str, prep: Preparation, counts: dict[int, int],
+             model: LogisticRegressionModel) -> DataFrame:
+    """``position, slope``: the objective's slope at the fitted weights, the intercept at position -1.
+
+    Mean weighted loss plus half the squared weights times the regularisation; near zero at the optimum.
+    """
+    scored = model.transform(prepare(train, prep)).withColumn("_w", balanced_weight(label, counts))
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    gap = F.col("_w") * (p - F.col(label)) / F.lit(float(sum(counts.values())))
+    x = F.concat(F.array(F.lit(1.0)), vector_to_array("features_vec"))
+    sums = scored.select(F.posexplode(F.transform(x, lambda v: v * gap)).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
+    pull = F.array(F.lit(0.0), *[F.lit(float(v) / (BINARY_C * sum(counts.values()))) for v in model.coefficients])
+    return sums.select((F.col("k") - 1).alias("position"), (F.col("v") + F.get(pull, F.col("k"))).alias("slope"))
+
+
 def binary_baselines(rows: DataFrame, label: str, features: Sequence[str], row_id: str, seed: int = 42,
                      part: str = "split_partition") -> tuple[DataFrame, dict[str, str]]:
     """Prior, stratified-random and balanced L2 logistic predictions for all rows, and skip reasons."""
@@ -156,13 +214,7 @@ def binary_baselines(rows: DataFrame, label: str, features: Sequence[str], row_i
     if why:
         skipped["logistic_regression_l2"] = why
     else:
-        weight = F.when(F.col(label) == 1, total / (2.0 * positive)).otherwise(total / (2.0 * (total - positive)))
-        made = prepare(train, prep).withColumn("_w", weight)
-        model = LogisticRegression(
-            featuresCol="features_vec", labelCol=label, weightCol="_w", regParam=1.0 / (BINARY_C * total),
-            elasticNetParam=0.0, standardization=False, maxIter=1000,
-        ).fit(made)
-        scored = model.transform(prepare(rows, prep))
+        scored = fit_binary(train, label, prep, counts).transform(prepare(rows, prep))
         frames.append(scored.select(
             row_id, part, label, F.lit("logistic_regression_l2").alias("estimator_name"),
             F.get(vector_to_array("probability"), F.lit(1)).alias("score"),
@@ -179,10 +231,7 @@ def ordinal_model(rows: DataFrame, universe: DataFrame, level_index: str, featur
     train = rows.where((F.col(part) == "train") & F.col(level_index).isNotNull())
     prep = fit_preparation(train, features, scale=True)
     counts = class_counts(train, level_index)
-    total = sum(counts.values())
-    weight = F.lit(0.0)
-    for k, n in counts.items():
-        weight = F.when(F.col(level_index) == k, total / (len(counts) * float(n))).otherwise(weight)
+    total, weight = sum(counts.values()), balanced_weight(level_index, counts)
     model = LogisticRegression(
         featuresCol="features_vec", labelCol=level_index, weightCol="_w", family="multinomial", elasticNetParam=0.0,
         regParam=1.0 / (reg * total), maxIter=500,

@@ -17,7 +17,7 @@ from medgrain.operators.agreement import ordinal_summary
 from medgrain.operators.aggregates import count_if, dominant, rate
 from medgrain.operators.joins import checked_join
 from medgrain.operators.ordering import top_up
-from medgrain.operators.skew import first_per_key, join_null_safe, ranked
+from medgrain.operators.skew import first_per_key, join_null_safe, ranked, ranked_together
 
 GRAIN = list(K.GRAIN)
 REVIEW_FIELDS = ["review_submission_id", "review_version", "review_submission_timestamp", "reviewer_id",
@@ -87,12 +87,12 @@ def build_queue(universe: DataFrame, latest: DataFrame, keys: Sequence[str] = GR
     tail = [n["subject"], n["encounter"], n["medication"], "-" + n["review_time"]]
     first = ["-queue_priority_score", "-rule_signal_strength_rank", "-class_zero_review_flag", "-subject_zero_review_flag",
              "-encounter_zero_review_flag", "class_reviewable_count", *tail]
-    q = ranked(q, [n["subject"]], first, "queue_rank_within_subject")
-    q = ranked(q, [n["class"]], first, "queue_rank_within_medication_class")
     last = ["current_clinician_reviewed_flag", "-queue_priority_score", "queue_rank_within_subject",
             "queue_rank_within_medication_class", "class_reviewed_count", "subject_reviewed_count",
             "class_reviewable_count", *tail]
-    return ranked(q, [], last, "queue_rank")
+    return ranked_together(q, keys, [
+        ("queue_rank_within_subject", [n["subject"]], first),
+        ("queue_rank_within_medication_class", [n["class"]], first), ("queue_rank", [], last)])
 
 
 def blind_slice(queue: DataFrame, scored: DataFrame, minimum: int = K.BLIND_MINIMUM_ROWS,

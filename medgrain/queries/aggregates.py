@@ -189,7 +189,7 @@ SELECT o_custkey, '[' || string_agg('"' || tag || '"', ',' ORDER BY tag) || ']'
   SELECT DISTINCT o_custkey, unnest([o_orderpriority, o_orderstatus]) AS tag FROM orders) GROUP BY 1""")
 def agg_set_union(t):
     lists = t.orders.select("o_custkey", F.to_json(F.array("o_orderpriority", "o_orderstatus")).alias("j"))
-    return lists.groupBy("o_custkey").agg(F.to_json(ops.json_set_union("j")).alias("tags"))
+    return ops.json_set_union(lists, ["o_custkey"], "j", "tags").withColumn("tags", F.to_json("tags"))
 
 
 @query("agg_ordered_list", "o_custkey:l position:l o_orderkey:l entry:s", """

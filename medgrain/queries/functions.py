@@ -295,8 +295,8 @@ def order_rules():
     ]
 
 
-@query("fn_rule_score", "o_orderkey:l bucket_med:i bucket_ctx:i bucket_dyn:i priority_score:i priority_level:s summary_alert:s explanation:s", """
-WITH h AS (SELECT o_orderkey, left(o_orderpriority, 1) = '1' AS u, left(o_orderpriority, 1) IN ('1', '2') AS hi, c_acctbal > 5000 AS r, c_mktsegment = 'BUILDING' AS b,
+@query("fn_rule_score", "o_orderkey:l bucket_med:i bucket_ctx:i bucket_dyn:i priority_score:i priority_level:s summary_alert:s explanation:s total:d labels:s why:s", """
+WITH h AS (SELECT o_orderkey, o_totalprice, left(o_orderpriority, 1) = '1' AS u, left(o_orderpriority, 1) IN ('1', '2') AS hi, c_acctbal > 5000 AS r, c_mktsegment = 'BUILDING' AS b,
   o_totalprice > 300000 AS l, o_orderstatus = 'P' AS p FROM orders JOIN customer ON o_custkey = c_custkey),
 s AS (SELECT *, least(u::INT * 3 + hi::INT * 3, 4) AS bucket_med, least(r::INT * 2 + b::INT * 2, 3) AS bucket_ctx, least(l::INT * 2 + p::INT, 3) AS bucket_dyn FROM h),
 z AS (SELECT *, bucket_med + bucket_ctx + bucket_dyn AS sc FROM s)
@@ -306,11 +306,18 @@ SELECT o_orderkey, bucket_med, bucket_ctx, bucket_dyn, sc AS priority_score, CAS
     WHEN bucket_ctx >= bucket_dyn THEN 'Context: ' || concat_ws(', ', CASE WHEN r THEN 'rich' END, CASE WHEN b THEN 'building' END) || '.'
     ELSE 'Dynamic: ' || concat_ws(', ', CASE WHEN l THEN 'large' END, CASE WHEN p THEN 'pending' END) || '.' END AS summary_alert,
   CASE WHEN sc = 0 THEN 'no major structured IPD rule triggered' ELSE concat_ws('; ', CASE WHEN u THEN 'urgent order' END, CASE WHEN hi THEN 'high order' END, CASE WHEN r THEN 'rich customer' END,
-    CASE WHEN b THEN 'building customer' END, CASE WHEN l THEN 'large order' END, CASE WHEN p THEN 'pending order' END) END AS explanation FROM z""")
+    CASE WHEN b THEN 'building customer' END, CASE WHEN l THEN 'large order' END, CASE WHEN p THEN 'pending order' END) END AS explanation,
+  CASE WHEN l THEN o_totalprice END AS total, '{"ctx":"Customer","dyn":"dyn","med":"Urgency"}' AS labels,
+  '{"ctx":[' || concat_ws(',', CASE WHEN r THEN '"rich customer"' END, CASE WHEN b THEN '"building customer"' END) || '],"dyn":[' ||
+    concat_ws(',', CASE WHEN l THEN '"large order"' END, CASE WHEN p THEN '"pending order"' END) || '],"med":[' ||
+    concat_ws(',', CASE WHEN u THEN '"urgent order"' END, CASE WHEN hi THEN '"high order"' END) || ']}' AS why FROM z""")
 def fn_rule_score(t):
     rows = t.orders.join(t.customer, c("o_custkey") == c("c_custkey"))
-    return scoring.rule_score(rows, order_rules(), {"med": 4, "ctx": 3, "dyn": 3},
-                              {"med": "Medication", "ctx": "Context", "dyn": "Dynamic"})
+    out = scoring.rule_score(rows, order_rules(), {"med": 4, "ctx": 3, "dyn": 3},
+                             {"med": "Medication", "ctx": "Context", "dyn": "Dynamic"}, labels={"ctx": "Customer", "med": "Urgency"})
+    of = lambda path: F.get_json_object("evidence_json", path)
+    return out.select("*", of("$.o_totalprice").cast("double").alias("total"), of("$.bucket_labels").alias("labels"),
+                      of("$.bucket_reasons").alias("why"))
 
 
 @query("fn_level_bucket", "k:l lv:s given:s", """

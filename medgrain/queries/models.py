@@ -50,6 +50,53 @@ def ml_binary(t):
     return rows
 
 
+TRAIN_SQL = f"x AS (SELECT d.*, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE {PART} = 'train')"
+
+
+@query("ml_preparation", "check:s feature:s value:d", f"""
+WITH {TRAIN_SQL}
+SELECT 'median' AS check, 'n_chars' AS feature, quantile_cont(n_chars, 0.5) AS value FROM x
+UNION ALL SELECT 'all_missing', 'empty', 1 UNION ALL SELECT 'constant', 'fixed', 1
+UNION ALL SELECT 'width', 'lang', count(DISTINCT coalesce(lang, '__missing__')) + 1 FROM x UNION ALL SELECT 'entries', 'lang', count(*) FROM x
+UNION ALL SELECT 'width', 'source', count(DISTINCT coalesce(source, '__missing__')) + 1 FROM x UNION ALL SELECT 'entries', 'source', count(*) FROM x""")
+def ml_preparation(t):
+    train = supervised(t).where(c("split_partition") == "train")
+    return models.preparation_report(train, models.fit_preparation(train, FEATURES))
+
+
+@query("ml_binary_checks", "check:s n:l passed:l", f"""
+WITH {TRAIN_SQL}, w AS (SELECT count(DISTINCT lang) + 1 + count(DISTINCT source) + 1 + 2 AS n FROM x)
+SELECT 'slope_near_zero' AS check, n, n AS passed FROM w
+UNION ALL SELECT 'probability', count(*), count(*) FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT 'higher_score_is_predicted', count(*), count(*) FROM documents JOIN labels USING (doc_id)""")
+def ml_binary_checks(t):
+    """The fitted model's slope at its weights, and its scores, as counts of what holds."""
+    rows = supervised(t)
+    train = rows.where((c("split_partition") == "train") & c("quality").isNotNull())
+    counts, prep = models.class_counts(train, "quality"), models.fit_preparation(train, FEATURES)
+    slopes = models.gradient(train, "quality", prep, counts, models.fit_binary(train, "quality", prep, counts))
+    scored = models.binary_baselines(rows, "quality", FEATURES, "doc_id")[0].where("estimator_name = 'logistic_regression_l2'")
+    held = lambda df, name, test: df.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("n"), F.count_if(test).alias("passed"))
+    # The column of character counts is not scaled, so its slope is taken per thousand characters.
+    near = F.abs(c("slope")) <= F.when(c("position") == 0, 1e-3).otherwise(1e-6)
+    return held(slopes, "slope_near_zero", near).unionByName(held(scored, "probability", c("score").between(0, 1))).unionByName(
+        held(scored, "higher_score_is_predicted", c("predicted") == (c("score") >= 0.5).cast("int")))
+
+
+@query("ml_ordinal_checks", "check:s n:l passed:l", """
+SELECT unnest(['probabilities_sum_to_one', 'level_is_most_probable', 'margin']) AS check, count(*) AS n, count(*) AS passed FROM documents""")
+def ml_ordinal_checks(t):
+    rows, p = leveled(t), "prediction__probability_"
+    out = models.ordinal_model(rows.where(c("ok") == 1), rows, "level_index", ["n_chars", "lang", "source"], "doc_id")
+    low, medium, high = (c(p + x) for x in ("low", "medium", "high"))
+    best = F.when(low >= F.greatest(medium, high), "low").when(medium >= high, "medium").otherwise("high")
+    tests = {"probabilities_sum_to_one": F.abs(low + medium + high - 1) < 1e-9,
+             "level_is_most_probable": c("prediction__ordinal_priority_level") == best,
+             "margin": F.abs(c("prediction__medium_high_margin") - F.abs(high - medium)) < 1e-12}
+    one = out.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(v).alias(k) for k, v in tests.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), "n", c(k).alias("passed")) for k in tests])))
+
+
 @query("ml_binary_metrics", "positive_count:l negative_count:l tp:l fp:l fn:l tn:l balanced_accuracy:d precision:d recall:d f1:d pr_auc:d roc_auc:d brier_score:d", """
 WITH x AS (SELECT quality AS y, n_chars / 100000 AS s, (n_chars > 500)::INT AS p FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 g AS (SELECT s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM x GROUP BY 1),

@@ -11,7 +11,7 @@ from medgrain.sources import artifacts, raw
 from medgrain.sources.specs import TableSpec
 from medgrain.sources.storage import scratch
 from medgrain.streaming.ingest import ingest_stream
-from medgrain.streaming.reviews import latest_stream
+from medgrain.streaming.reviews import append_changes, latest_snapshot, latest_stream
 
 c = F.col
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -151,7 +151,11 @@ def str_file_ingest(t):
 SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1""")
 def str_latest_snapshot(t):
     log = t.spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 2).json(_log(t, 2))
-    return latest_stream(log, ["conv_id"], ["turn"], scratch(t.spark, "latest"), scratch(t.spark, "state"))
+    out, state = scratch(t.spark, "latest"), scratch(t.spark, "state")
+    latest_stream(log.where(c("conv_id") % 3 > 0), ["conv_id"], ["turn"], out, state, compact_after=2)
+    # A later stream over the same log: its changes lie over the compacted snapshot.
+    append_changes(log.where(c("conv_id") % 3 == 0), ["conv_id"], ["turn"], out, scratch(t.spark, "state"), first_batch=1000)
+    return latest_snapshot(t.spark, out, ["conv_id"])
 
 
 @query("dq_expectations", "rule:s violations:l", """

@@ -188,7 +188,8 @@ b AS (SELECT *, row_number() OVER (PARTITION BY lv, g ORDER BY s DESC, o_orderke
 d AS (SELECT *, row_number() OVER (PARTITION BY lv ORDER BY turn, s DESC, o_orderkey) AS rnd FROM b)
 SELECT o_orderkey, row_number() OVER (ORDER BY rnd, CASE lv WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, s DESC, o_orderkey) AS position FROM d""")
 def win_interleave(t):
-    return ordering.interleaved(t.orders, "o_orderstatus", "o_orderpriority", ["-o_totalprice", "o_orderkey"], ["P", "O", "F"])
+    return ordering.interleaved(t.orders, "o_orderstatus", "o_orderpriority", ["-o_totalprice", "o_orderkey"], ["P", "O", "F"],
+                                ["o_orderkey"])
 
 
 @query("win_subject_split", "c_custkey:l c_mktsegment:s split_partition:s", """

@@ -20,6 +20,7 @@ DISCOVERY_SCHEMA = (
 
 #: Quoted fields may hold commas, doubled quotes and line ends.
 CSV = {"quote": '"', "escape": '"', "multiLine": "true"}
+BROKEN = "_broken_row"
 
 
 class SourceContractError(ValueError):
@@ -64,19 +65,43 @@ def text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n if plain else f"c{i}", T.StringType()) for i, n in enumerate(names)])
 
 
-def bound(reader: DataFrameReader | DataStreamReader, names: list[str]) -> DataFrameReader | DataStreamReader:
+def bound(reader: DataFrameReader | DataStreamReader, names: list[str],
+          line_ends: bool = True) -> DataFrameReader | DataStreamReader:
     """``reader`` set up for files of this header; a file with another one fails."""
     schema = text_schema(names)
-    return reader.schema(schema).options(**CSV).option("header", True).option("enforceSchema", schema.names != names)
+    reader = reader.options(**CSV).option("header", True).option("enforceSchema", schema.names != names)
+    if line_ends:
+        return reader.schema(schema)
+    broken = schema.add(T.StructField(BROKEN, T.StringType()))
+    # A row is whole or not by the number of its fields, so all of them are parsed.
+    return reader.schema(broken).options(multiLine="false", columnPruning="false", columnNameOfCorruptRecord=BROKEN)
 
 
-def scan_raw(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def rows_of(df: DataFrame, names: list[str], line_ends: bool) -> DataFrame:
+    """The rows of a bound read under normalised names, with ``_metadata``.
+
+    Read in splits, a quoted line end cuts a row in two, one of which has too few fields and an open quote: that fails,
+    it is never taken for data.
+    """
+    if not line_ends:
+        message = F.concat_ws(" ", F.lit("a quoted field holds a line end; set line_ends in the table's spec:"), *df.columns[:1])
+        cut = F.col(BROKEN).isNotNull() & (F.regexp_count(F.col(BROKEN), F.lit('"')) % 2 == 1)
+        guard = F.when(cut, F.raise_error(message).cast("int")).otherwise(F.lit(1))
+        df = df.where(guard == 1)
+    return df.select(*df.columns[:len(names)], "_metadata").toDF(*normalized_names(names), "_metadata")
+
+
+def scan_raw(spark: SparkSession, path: str, partitions: int | None = None, line_ends: bool = True) -> DataFrame:
     """All columns as text under normalised names.
 
-    A quoted field may hold line ends, so a file is one split; rows are spread out after the read.
+    Files whose quoted fields may hold line ends, or that are compressed, are one split each, and rows are spread out
+    after the read; others are read in splits. A single column is always read whole: a cut row would show no fault.
     """
     names = header(spark, path)
-    df = bound(spark.read, names).csv(path).select("*", "_metadata").toDF(*normalized_names(names), "_metadata")
+    line_ends = line_ends or len(names) < 2
+    df = rows_of(bound(spark.read, names, line_ends).csv(path), names, line_ends)
+    if not line_ends and not path.endswith(".gz"):
+        return df
     return df.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -120,7 +145,7 @@ def with_lineage(df: DataFrame, dataset: str, table: str, run_id: str) -> DataFr
 
 def standardize(spark: SparkSession, spec: TableSpec, path: str, run_id: str) -> DataFrame:
     """Scan, conform, cast and add lineage in one plan."""
-    return with_lineage(cast_columns(conform(scan_raw(spark, path), spec), spec), spec.dataset, spec.name, run_id)
+    return with_lineage(cast_columns(conform(scan_raw(spark, path, line_ends=spec.line_ends), spec), spec), spec.dataset, spec.name, run_id)
 
 
 def discover(spark: SparkSession, specs: Iterable[TableSpec], root: str, extension: str = "csv.gz") -> DataFrame:

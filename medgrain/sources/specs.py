@@ -29,6 +29,7 @@ class TableSpec:
     required_columns: tuple[str, ...]
     optional_columns: tuple[str, ...] = ()
     types: dict[str, str] = field(default_factory=dict)
+    line_ends: bool = False  # free text may hold line ends, so a file cannot be read in splits
 
     @property
     def expected(self) -> tuple[str, ...]:
@@ -87,7 +88,7 @@ SPECS = {
                   ("seq_num", "icd_code", "icd_title", "icd_version")),
         TableSpec("ed", "triage", "ed", False, ("subject_id", "stay_id", "chiefcomplaint", "acuity"),
                   ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "pain", "arrival_transport",
-                   "charttime")),
+                   "charttime"), line_ends=True),
         TableSpec("ed", "vitalsign", "ed", False, ("subject_id", "stay_id"),
                   ("charttime", "temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "rhythm", "pain")),
         TableSpec("ed", "medrecon", "ed", False, ("subject_id", "stay_id", "name"),

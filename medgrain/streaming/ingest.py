@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medgrain.sources.raw import bound, cast_columns, conform, header, normalized_names, with_lineage
+from medgrain.sources.raw import bound, cast_columns, conform, header, rows_of, with_lineage
 from medgrain.sources.specs import TableSpec
 
 
@@ -16,10 +16,11 @@ def ingest_stream(spark: SparkSession, spec: TableSpec, source: str, out: str, c
     batch overwrites its own folder, so a replayed batch leaves no duplicates.
     """
     names = header(spark, source)
-    reader = bound(spark.readStream, names)
+    line_ends = spec.line_ends or len(names) < 2
+    reader = bound(spark.readStream, names, line_ends)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.csv(source).select("*", "_metadata").toDF(*normalized_names(names), "_metadata")
+    raw = rows_of(reader.csv(source), names, line_ends)
     rows = with_lineage(cast_columns(conform(raw, spec), spec), spec.dataset, spec.name, run_id)
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -12,12 +12,7 @@ from medgrain.queries import REGISTRY
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-FAST = [n for n in REGISTRY if n.startswith(("flt_", "join_", "set_", "srt_", "dq_", "str_"))] + [
-    "agg_primary_action", "agg_window_harms", "agg_ordinal_agreement", "win_collapse_intervals", "win_asof_summary",
-    "win_review_queue", "win_subject_split", "fn_rule_score", "fn_review_time", "fn_dictionary_class", "job_state",
-    "ml_binary_metrics",
-]
-NAMES = list(REGISTRY) if os.environ.get("ALL_QUERIES") else FAST
+NAMES = list(REGISTRY)
 
 
 @pytest.fixture(scope="module")
