@@ -3,10 +3,10 @@
 Groups of equal texts are dealt by hash into a fixed number of parcels, so a group stays together. A group that holds
 more than one parcel's fair share of bytes, words or rows becomes a parcel of its own, counted by cells that a hash of
 the id makes. There are at most seven times ``parcels`` cells, whatever the input, so their totals may be placed on the
-driver: parcels in falling size, each whole where the dot product with the residual capacity is highest among the
-shards with room for it in bytes, words and rows. Only where no shard has that room are a parcel's cells placed one by
-one: such a group is larger than what is left of any shard, and to keep it whole would break the law, which is
-``bytes``. Slots are ranks inside a cell after the rows of the shard's earlier cells; no window spans a shard or a large
+driver: large groups in falling size, each whole where the dot product with the residual capacity is highest among the
+shards with room for it in bytes, words and rows; then all other parcels and cells, each where the dot product is
+highest. A group is cut into its cells only where no shard has room for it, be it that it holds more than a shard or
+that larger groups left too little: to keep it whole would break the law, which is ``bytes``. Slots are ranks inside a cell after the rows of the shard's earlier cells; no window spans a shard or a large
 group.
 
 Null texts have no bytes but the row's one; repeated rows get slots of their own; an empty table has no rows.
@@ -28,22 +28,30 @@ DIMENSIONS = ["size", "words", "rows"]
 
 
 def place(parcels: list[np.ndarray], shards: int) -> list[list[int]]:
-    """Shard of each cell of each parcel (cells: rows of three totals), in order of falling size."""
+    """Shard of each cell of each parcel (cells: rows of three totals).
+
+    Parcels of several cells come first, in falling size, each whole where a shard has room; then all other cells.
+    """
     whole = np.array([p.sum(axis=0) for p in parcels]).reshape(-1, 3)
     total = np.maximum(whole.sum(axis=0), 1.0)
     room = np.tile(WEIGHTS / shards, (shards, 1))
-    out: list[list[int]] = [[] for _ in parcels]
+    out = [[-1] * len(p) for p in parcels]
+    single = []
     for i in np.lexsort((-whole[:, 2], -whole[:, 1], -whole[:, 0])).tolist():
         share = whole[i] / total * WEIGHTS
         fits = (room >= share - 1e-12).all(axis=1)
-        if fits.any() or len(parcels[i]) == 1:
-            best = int(np.argmax(np.where(fits | ~fits.any(), room @ share, -np.inf)))
+        if len(parcels[i]) > 1 and fits.any():
+            best = int(np.argmax(np.where(fits, room @ share, -np.inf)))
             room[best] -= share
             out[i] = [best] * len(parcels[i])
-            continue
-        for cell in parcels[i] / total * WEIGHTS:
-            out[i].append(int(np.argmax(room @ cell)))
-            room[out[i][-1]] -= cell
+        else:
+            single += [(i, j) for j in range(len(parcels[i]))]
+    cells = np.array([parcels[i][j] for i, j in single]).reshape(-1, 3)
+    for at in np.lexsort((-cells[:, 2], -cells[:, 1], -cells[:, 0])).tolist():
+        share = cells[at] / total * WEIGHTS
+        best = int(np.argmax(room @ share))
+        room[best] -= share
+        out[single[at][0]][single[at][1]] = best
     return out
 
 
