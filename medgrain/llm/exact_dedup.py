@@ -170,8 +170,10 @@ def exact_duplicates(docs: DataFrame, long_bytes: int = CHUNK) -> DataFrame:
     Null ids form rows of their own kind: they never stay before a numbered row of the same text.
     """
     prints = stored(fingerprints(docs, long_bytes), "whole-prints")
-    unlike = stored(differing(docs, prints), "unlike").withColumn("sub", F.col("text_sha256"))
-    marked = prints.join(unlike, ["doc_id", "text_sha256"], "left").withColumn("sub", F.coalesce("sub", F.lit("")))
+    unlike = stored(differing(docs, prints), "unlike").select(
+        F.col("doc_id").alias("_unlike"), F.col("text_sha256").alias("sub"))
+    same = F.col("doc_id").eqNullSafe(F.col("_unlike")) & (F.col("text_sha256") == F.col("sub"))
+    marked = prints.join(unlike, same, "left").withColumn("sub", F.coalesce("sub", F.lit(""))).drop("_unlike")
     classes = stored(
         marked.groupBy(*KEY, "sub").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")),
         "print-classes",
