@@ -12,7 +12,13 @@ from medgrain.queries import REGISTRY
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-NAMES = list(REGISTRY)
+FAST = [n for n in REGISTRY if n.startswith(("flt_", "join_", "set_", "srt_", "dq_", "str_", "src_", "ml_"))] + [
+    "agg_primary_action", "agg_window_harms", "agg_ordinal_agreement", "agg_set_union", "agg_top_row_summary",
+    "agg_review_report", "win_collapse_intervals", "win_asof_summary", "win_review_queue", "win_interleave",
+    "win_subject_split", "fn_rule_score", "fn_review_time", "fn_dictionary_class", "fn_row_id", "job_state", "job_mapping_far",
+    "job_pipeline_counts",
+]
+NAMES = list(REGISTRY) if os.environ.get("ALL_QUERIES") else FAST
 
 
 @pytest.fixture(scope="module")
