@@ -73,10 +73,10 @@ class Cuts:
             for path in held[:len(held) - but_last]:
                 delete(self.spark, path)
             self.paths[name] = held[len(held) - but_last:]
-        release(self.spark)
 
     def clear(self) -> None:
         self.drop(*self.paths)
+        release(self.spark)
 
 
 def bucketed(df: DataFrame, name: str, key: str, compression: str, path: str | None = None) -> DataFrame:

@@ -437,6 +437,7 @@ def _long_links(ids: DataFrame, wholes: DataFrame, edges: DataFrame, comps: Data
     open_ = _open_lists(lists, comps, cuts)
     cuts.drop("rare-lists")
     cuts.drop("open-lists", but_last=True)
+    release(cuts.spark)
     if report is not None:
         report["long"] = (sets.count(), found.count(), *open_.agg(F.count("*"), F.countDistinct("token"), F.max("m")).first())
     return found.unionByName(_block_links(open_.select("token", "cid", "n", "comp"), sets))
@@ -484,6 +485,7 @@ def class_components(classes: DataFrame, blocks: DataFrame, cuts: Cuts, report:
     counts = _counted(large, ranges).groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
     heads = cuts.keep(_open_heads(large.join(counts, "block"), ranges), "open-heads")
     cuts.drop("sets")
+    release(spark)
     wholes = heads.select("cid", "whole")
     entries = heads.select("cid", "n", F.explode("tokens").alias("token"))
     hubs = cuts.keep(entries.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("cid", "n")).alias("hub"))
@@ -498,6 +500,7 @@ def class_components(classes: DataFrame, blocks: DataFrame, cuts: Cuts, report:
     comps = components(edges, cuts)
     lists = _open_lists(lists.select("token", "cid", "n"), comps, cuts)
     cuts.drop("lists")
+    release(spark)
     short = lists.where(F.col("m") <= SHORT_LIST)
     tell(open=lists.agg(F.count("*"), F.countDistinct("token"), F.max("m"), F.sum((F.col("m") > SHORT_LIST).cast("int"))).first)
     pairs = _short_pairs(short.select("token", "cid", "n", "comp")).join(done.select("a", "b"), ["a", "b"], "left_anti")
@@ -510,6 +513,7 @@ def class_components(classes: DataFrame, blocks: DataFrame, cuts: Cuts, report:
     comps = components(edges, cuts)
     ids = cuts.keep(lists.where(F.col("m") > SHORT_LIST).select("cid").distinct(), "long-ids")
     cuts.drop("pairs", "checked", "open-lists")
+    release(spark)
     cuts.drop("edges", "components", but_last=True)
     if ids.isEmpty():
         return comps
