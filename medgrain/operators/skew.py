@@ -50,7 +50,9 @@ def left_join_known(rows: DataFrame, right: DataFrame, keys: Sequence[str], part
     """Left equi-join in which rows with a null key, which match nothing, are dealt over ``parts`` places."""
     unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     place = F.when(unknown, F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) + 1).otherwise(0).cast("int")
-    joined = rows.withColumn("_spread", place).join(right.withColumn("_spread", F.lit(0)), [*keys, "_spread"], "left")
+    # Always zero, but not a constant: the optimizer would take a constant out of the join's keys.
+    known = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    joined = rows.withColumn("_spread", place).join(right.withColumn("_spread", known), [*keys, "_spread"], "left")
     return joined.select(*rows.columns, *[c for c in right.columns if c not in keys])
 
 

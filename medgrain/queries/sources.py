@@ -17,7 +17,7 @@ c = F.col
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations")
 ORDERS = TableSpec("clinical", "orders", "hosp", True, ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"), ("o_note",),
-                   {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"})
+                   {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"}, line_ends=False)
 
 
 def _orders_csv(t) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 INTEGER_COLUMNS = (
     "subject_id", "hadm_id", "stay_id", "pharmacy_id", "emar_seq", "labevent_id", "specimen_id", "itemid",
@@ -29,7 +29,7 @@ class TableSpec:
     required_columns: tuple[str, ...]
     optional_columns: tuple[str, ...] = ()
     types: dict[str, str] = field(default_factory=dict)
-    line_ends: bool = False  # free text may hold line ends, so a file cannot be read in splits
+    line_ends: bool = True  # quoted fields may hold line ends, so a file cannot be read in splits
 
     @property
     def expected(self) -> tuple[str, ...]:
@@ -48,9 +48,11 @@ class TableSpec:
         return "string"
 
 
+#: Known tables with free text; all others hold no line ends and are read in splits.
+FREE_TEXT = ("triage",)
 # Fixed column lists of the fifteen known tables.
 SPECS = {
-    s.name: s
+    s.name: replace(s, line_ends=s.name in FREE_TEXT)
     for s in (
         TableSpec("clinical", "patients", "hosp", True, ("subject_id", "gender", "anchor_age"),
                   ("anchor_year", "anchor_year_group", "dod")),
@@ -88,7 +90,7 @@ SPECS = {
                   ("seq_num", "icd_code", "icd_title", "icd_version")),
         TableSpec("ed", "triage", "ed", False, ("subject_id", "stay_id", "chiefcomplaint", "acuity"),
                   ("temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "pain", "arrival_transport",
-                   "charttime"), line_ends=True),
+                   "charttime")),
         TableSpec("ed", "vitalsign", "ed", False, ("subject_id", "stay_id"),
                   ("charttime", "temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "rhythm", "pain")),
         TableSpec("ed", "medrecon", "ed", False, ("subject_id", "stay_id", "name"),

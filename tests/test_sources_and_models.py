@@ -40,7 +40,7 @@ def test_a_line_end_in_a_split_table_fails(spark, tmp_path, lines):
     assert scan_raw(spark, str(path)).count() == 2
     with pytest.raises(Exception, match="line_ends"):
         scan_raw(spark, str(path), line_ends=False).collect()
-    spec = TableSpec("d", "t", "s", True, ("id", "text"))
+    spec = TableSpec("d", "t", "s", True, ("id", "text"), line_ends=False)
     with pytest.raises(Exception, match="line_ends"):
         standardize(spark, spec, str(path), "run").select("id").collect()
 
