@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from medgrain.llm.common import bucketed, map_columns, partitions, small_batches, stored, table, texts, tokenizer_file
 from medgrain.llm.pretokens import KnownPieces, gather, may_cut, split_words, sums_by
 
-BATCH_CHARS = 4 << 20
-MOST_PIECES, MOST_CHARS = 500_000, 16 << 20
-TOGETHER, LEARNT = 200, 4000
+BATCH_CHARS = 2 << 20
+MOST_PIECES, MOST_CHARS = 250_000, 8 << 20
+TOGETHER, LEARNT = 200, 2000
 SHIFT = 17  # ids of either tokenizer are below 2 ** SHIFT
 PAIRS_AT_ONCE = 1 << 21
 MOST_RANGES = 512
