@@ -24,14 +24,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medgrain.llm.common import bucketed, map_columns, partitions, small_batches, stored, table, texts, tokenizer_file
 from medgrain.llm.pretokens import KnownPieces, gather, may_cut, split_words, sums_by
 
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 MOST_PIECES, MOST_CHARS = 250_000, 8 << 20
 TOGETHER, LEARNT = 200, 2000
 SHIFT = 17  # ids of either tokenizer are below 2 ** SHIFT
