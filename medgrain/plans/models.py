@@ -9,13 +9,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medgrain import constants as K
 from medgrain.operators.aggregates import count_if
 from medgrain.operators.joins import checked_join
 from medgrain.operators.quantiles import exact_quantile
+from medgrain.sources.storage import scratch
 
 MISSING = "__missing__"
 SUSPICIOUS = ("label__", "benchmark__", "meta__", "prediction__", "score", "outcome")
@@ -152,13 +153,24 @@ def balanced_weight(label: str, counts: dict[int, int]) -> Column:
     return weight
 
 
+def without_summary(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
+    """The fitted model as saved and read back, which leaves its training summary behind.
+
+    The summary of two classes holds the session, which tasks cannot be sent once anything in it was observed.
+    """
+    path = scratch(spark, "model")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def fit_binary(train: DataFrame, label: str, prep: Preparation, counts: dict[int, int]) -> LogisticRegressionModel:
     """The balanced L2 logistic model on the prepared training rows."""
     made = prepare(train, prep).withColumn("_w", balanced_weight(label, counts))
-    return LogisticRegression(
+    model = LogisticRegression(
         featuresCol="features_vec", labelCol=label, weightCol="_w", regParam=1.0 / (BINARY_C * sum(counts.values())),
         elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10,
     ).fit(made)
+    return without_summary(model, train.sparkSession)
 
 
 def preparation_report(train: DataFrame, prep: Preparation) -> DataFrame:
@@ -236,6 +248,7 @@ def ordinal_model(rows: DataFrame, universe: DataFrame, level_index: str, featur
         featuresCol="features_vec", labelCol=level_index, weightCol="_w", family="multinomial", elasticNetParam=0.0,
         regParam=1.0 / (reg * total), maxIter=500,
     ).fit(prepare(train, prep).withColumn("_w", weight))
+    model = without_summary(model, train.sparkSession)
     p = vector_to_array("probability")
     probability = [F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) for i in range(len(K.LEVELS))]
     scored = model.transform(prepare(universe, prep))
