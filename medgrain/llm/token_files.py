@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medgrain.llm.common import folder, kept_by_worker, map_columns, table, texts, tokenizer_file
+from medgrain.llm.common import folder, kept_by_worker, map_columns, small_batches, table, texts, tokenizer_file
 from medgrain.llm.pretokens import KnownPieces, gather, may_cut, split_words, sums_by
 
 #: Parquet layout: delta-coded metadata, dictionary-coded tokens, small pages with an index.
@@ -65,8 +65,10 @@ class PieceEncoder:
         self.known = KnownPieces()
         self.sizes, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def plain(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def plain(self, pieces: list[str], at_once: int = 256) -> list[list[int]]:
+        """Ids of each piece. An encoding of the library holds far more than its ids, so few are held at a time."""
+        return [e.ids for i in range(0, len(pieces), at_once)
+                for e in self.tokenizer.encode_batch_fast(pieces[i:i + at_once], add_special_tokens=False)]
 
     def _encoded(self, pieces: list[str], together: int = 200) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, each with the space before it, and how many each has; a token that opens with a space
@@ -113,7 +115,7 @@ class PieceEncoder:
         return sums_by(sizes[codes], counts), gather(codes, np.cumsum(sizes) - sizes, sizes, values)
 
 
-def slices(rows: list[str], limit: int = 4 << 20) -> Iterator[slice]:
+def slices(rows: list[str], limit: int = 1 << 20) -> Iterator[slice]:
     """Runs of texts of about ``limit`` characters."""
     begin = held = 0
     for i, text in enumerate(rows):
@@ -148,7 +150,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, m
 
     ordered = texts(docs).repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id", "text")
     encoded = map_columns(ordered.select("doc_id", "text", F.spark_partition_id().alias("shard")), encode, COLUMNS)
-    encoded.write.options(**LAYOUT).parquet(path)
+    with small_batches(docs.sparkSession):
+        encoded.write.options(**LAYOUT).parquet(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
