@@ -116,17 +116,19 @@ def kept_by_worker(name: str, make: Callable[[], object]) -> object:
     return getattr(home, name)
 
 
-def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], kind: str | T.StructType) -> DataFrame:
+def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[tuple]], kind: str | T.StructType,
+                as_is: tuple[str, ...] = ()) -> DataFrame:
     """``mapInArrow`` over column lists: ``fn`` takes dicts of Python lists and yields tuples of lists or arrays.
 
-    ``kind`` is the result's schema. Lists keep nulls and 64-bit integers as they are, which pandas would turn into
+    ``kind`` is the result's schema. Columns in ``as_is`` stay arrays, for those that only pass through. Lists keep nulls and 64-bit integers as they are, which pandas would turn into
     floats.
     """
     schema = T.StructType.fromDDL(kind) if isinstance(kind, str) else kind
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches)
+        columns = ({n: b.column(i) if n in as_is else b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+                   for b in batches)
         for out in fn(columns):
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=k.type) for c, k in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=kinds.names)

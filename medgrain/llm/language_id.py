@@ -237,7 +237,7 @@ def identify(docs: DataFrame, langs: list[str], weights: dict, keep: tuple[str,
     kind = T.StructType([T.StructField("doc_id", T.LongType()), *[docs.schema[c] for c in keep],
                          T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                          T.StructField("agreeing", T.DoubleType())])
-    return map_columns(rows, run, kind)
+    return map_columns(rows, run, kind, as_is=keep)
 
 
 def keep_known(docs: DataFrame, langs: list[str], weights: dict) -> DataFrame:
