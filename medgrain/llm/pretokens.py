@@ -69,10 +69,13 @@ class KnownPieces:
 
 def gather(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The runs ``values[starts[c]:starts[c] + sizes[c]]`` of all codes, one after the other."""
-    n = sizes[codes]
-    total = int(n.sum())
-    before = np.cumsum(n) - n
-    return values[np.repeat(starts[codes] - before, n) + np.arange(total)]
+    return runs(starts[codes], sizes[codes], values)
+
+
+def runs(starts: np.ndarray, n: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``values[s:s + k]`` of all pairs of ``starts`` and ``n``, one after the other."""
+    before = np.cumsum(n, dtype=np.int64) - n
+    return values[np.repeat(starts - before, n) + np.arange(int(n.sum(dtype=np.int64)))]
 
 
 def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -19,6 +19,7 @@ import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medgrain.llm.common import folder, kept_by_worker, map_columns, small_batches, table, texts, tokenizer_file
-from medgrain.llm.pretokens import KnownPieces, gather, may_cut, split_words, sums_by
+from medgrain.llm.pretokens import KnownPieces, may_cut, runs, split_words, sums_by
 
 #: Parquet layout: delta-coded metadata, dictionary-coded tokens, small pages with an index.
 LAYOUT = {
@@ -44,6 +45,35 @@ LAYOUT = {
 COLUMNS = "shard int, doc_id long, local_start long, n_tokens long, token_ids array<int>"
 
 
+class Grown:
+    """An array that grows at its end in place: its room doubles, so that adding copies little."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            room = np.zeros(max(end, 2 * len(self.room)), self.room.dtype)
+            room[:self.size] = self.room[:self.size]
+            self.room = room
+        self.room[self.size:end] = values
+        self.size = end
+
+    @contextmanager
+    def extended(self, values: np.ndarray) -> Iterator[np.ndarray]:
+        """The array with ``values`` behind it; they are let go of at the end."""
+        before = self.size
+        self.add(values)
+        try:
+            yield self.room[:self.size]
+        finally:
+            self.size = before
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer of the tokenizers library, each known piece once.
 
@@ -63,7 +93,7 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self.known = KnownPieces()
-        self.sizes, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.sizes, self.starts, self.ids = Grown(np.int32), Grown(np.int64), Grown(np.int32)
 
     def plain(self, pieces: list[str], at_once: int = 256) -> list[list[int]]:
         """Ids of each piece. An encoding of the library holds far more than its ids, so few are held at a time."""
@@ -88,7 +118,9 @@ class PieceEncoder:
         codes, new = self.known.numbers(pieces)
         if len(new):
             ids, sizes = self._encoded([pieces[i] for i in new.tolist()])
-            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self.starts.add(len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes)
+            self.sizes.add(sizes)
+            self.ids.add(ids)
         return codes
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +141,14 @@ class PieceEncoder:
         inner = np.ones(len(kept), bool)
         inner[offsets[:-1] - offsets[0]] = False
         codes[rest] = kept[inner]
+        # The heads' pieces stand behind the known ones only for as long as this batch.
         codes[opens] = [len(self.sizes) + number[h] for h in heads]
-        sizes = np.concatenate([self.sizes, np.array([len(x) for x in lists], np.int32)]).astype(np.int64)
-        values = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), np.int32)])
-        return sums_by(sizes[codes], counts), gather(codes, np.cumsum(sizes) - sizes, sizes, values)
+        sizes = np.array([len(x) for x in lists], np.int32)
+        with self.starts.extended(len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes) as starts, \
+                self.sizes.extended(sizes) as every, \
+                self.ids.extended(np.fromiter(itertools.chain.from_iterable(lists), np.int32)) as values:
+            n = every[codes]
+            return sums_by(n, counts), runs(starts[codes], n, values)
 
 
 def slices(rows: list[str], limit: int = 1 << 20) -> Iterator[slice]:
