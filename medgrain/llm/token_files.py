@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medgrain.llm.common import folder, kept_by_worker, map_columns, small_batches, table, texts, tokenizer_file
-from medgrain.llm.pretokens import KnownPieces, may_cut, runs, split_words, sums_by
+from medgrain.llm.pretokens import KnownPieces, Numbered, may_cut, numbered_words, runs, sums_by
 
 #: Parquet layout: delta-coded metadata, dictionary-coded tokens, small pages with an index.
 LAYOUT = {
@@ -77,22 +78,25 @@ class Grown:
 class PieceEncoder:
     """Encodes texts with a tokenizer of the tokenizers library, each known piece once.
 
-    Pieces are words with the space before them; some 40 bytes are held of each.
+    Pieces are words with the space before them; some 60 bytes are held of each, and some
+    150 of each one met of late.
     """
 
     def __init__(self, json: str, max_pieces: int):
         from tokenizers import Tokenizer
 
+        # Spark has a worker for each core; threads of the library's own would each hold memory back.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(json)
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         size = self.tokenizer.get_vocab_size()
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.max_pieces = max_pieces
+        self.max_pieces, self.recent = max_pieces, Numbered()
         self._clear()
 
     def _clear(self) -> None:
-        self.known = KnownPieces()
+        self.known, self.recent_codes = KnownPieces(), Grown(np.int64)
         self.sizes, self.starts, self.ids = Grown(np.int32), Grown(np.int64), Grown(np.int32)
 
     def plain(self, pieces: list[str], at_once: int = 256) -> list[list[int]]:
@@ -113,8 +117,6 @@ class PieceEncoder:
 
     def _codes(self, pieces: list[str]) -> np.ndarray:
         """Numbers of distinct pieces among those known; unseen ones are encoded."""
-        if len(self.sizes) + len(pieces) > self.max_pieces:
-            self._clear()
         codes, new = self.known.numbers(pieces)
         if len(new):
             ids, sizes = self._encoded([pieces[i] for i in new.tolist()])
@@ -123,11 +125,21 @@ class PieceEncoder:
             self.ids.add(ids)
         return codes
 
+    def _split(self, texts: list[str], most_recent: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+        """The number among the known pieces of each piece of the texts, and the texts' bounds. Pieces met of late are
+        found by themselves, without their hash."""
+        if len(self.recent) > most_recent:
+            self.recent, self.recent_codes = Numbered(), Grown(np.int64)
+        places, offsets = numbered_words(texts, self.recent)
+        if len(self.sizes) + len(self.recent) - len(self.recent_codes) > self.max_pieces:
+            self._clear()
+        self.recent_codes.add(self._codes(list(itertools.islice(self.recent, len(self.recent_codes), None))))
+        return self.recent_codes.room[places], offsets
+
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids."""
         whole = [bool(self.added and self.added.search(t)) or not may_cut(t) for t in batch]
-        words, indices, offsets = split_words([t for t, w in zip(batch, whole) if not w])
-        kept = self._codes(words)[indices]
+        kept, offsets = self._split([t for t, w in zip(batch, whole) if not w])
         # The first piece of a text has no space before it; a text that may not be cut is its own first piece.
         heads = [t if w else t.split(" ", 1)[0] for t, w in zip(batch, whole)]
         number = {h: i for i, h in enumerate(dict.fromkeys(heads))}
