@@ -44,6 +44,7 @@ SMALL_MOST = 16
 BLOCK_SHINGLES = 1 << 20
 SHORT_LIST = 64
 HUB_TURNS = 2
+CELL_SETS, CELL_SHINGLES = 512, 1 << 17
 BLOCK = "block string, doc_ids array<bigint>, sizes array<int>, d1 array<bigint>, d2 array<bigint>, sets binary"
 
 
@@ -371,50 +372,103 @@ def _hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
         F.least("cid", "v.hub").alias("a"), F.greatest("cid", "v.hub").alias("b")).distinct()
 
 
+def _merged_lists(lists: DataFrame) -> DataFrame:
+    """The lists, those with the same hub as one wherever that forms no more pairs: a group of near copies is on many lists.
+
+    Every two sets that shared a list still do. A clash of the new names could only join two lists more.
+    """
+    hubs = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid", F.lit(HUB_TURNS)).alias("h"), "cid")).alias("hub"),
+                                      F.count("*").alias("m")).select("token", F.col("hub.cid").alias("hub"), "m")
+    apart = hubs.groupBy("hub").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    named = lists.join(hubs, "token")
+    merge = named.select("hub", "cid").distinct().groupBy("hub").agg(F.count("*").alias("d")).join(apart, "hub").where("d * d <= apart")
+    return named.join(merge.select("hub", F.lit(True).alias("one")), "hub", "left").select(
+        F.when(F.col("one"), F.xxhash64("hub", F.lit("hub"))).otherwise(F.col("token")).alias("token"), "cid", "n", "comp").distinct()
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``: products of 0/1 tables of ``width`` shingles."""
+    sides = [(np.repeat(np.arange(len(x), dtype=np.int32), [len(s) for s in x]), np.concatenate(x)) for x in (left, right)]
+    both = np.intersect1d(np.unique(sides[0][1]), np.unique(sides[1][1]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
+        return out
+    placed = []
+    for rows, values in sides:
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        known = np.flatnonzero(both[at] == values)
+        known = known[np.argsort(at[known], kind="stable")]
+        placed.append((rows[known], at[known]))
+    for low in range(0, len(both), width):
+        tables = []
+        for (rows, at), n in zip(placed, out.shape):
+            part = slice(*np.searchsorted(at, (low, low + width)))
+            tables.append(np.zeros((n, min(width, len(both) - low)), np.float32))
+            tables[-1][rows[part], at[part] - low] = 1
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _met(left: list[tuple], right: list[tuple]) -> tuple[list[int], list[int]]:
+    """A link for each two components linked between sets ``n, comp, cid, shingles`` of both sides."""
+    n_a, n_b = (np.array([x[0] for x in side], np.int64) for side in (left, right))
+    comp_a, comp_b = (np.array([x[1] for x in side], np.int64) for side in (left, right))
+    small, large = np.minimum(n_a[:, None], n_b), np.maximum(n_a[:, None], n_b)
+    may = (comp_a[:, None] != comp_b) & (DEN * small >= NUM * large)
+    rows, columns = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+    if not len(rows):
+        return [], []
+    common = _common([left[i][3] for i in rows], [right[j][3] for j in columns])
+    linked = may[np.ix_(rows, columns)] & ((NUM + DEN) * common.astype(np.int64) >= NUM * (n_a[rows][:, None] + n_b[columns]))
+    joined, out = set(), ([], [])
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = left[rows[i]], right[columns[j]]
+        pair = (min(a[1], b[1]), max(a[1], b[1]))
+        if pair not in joined:
+            joined.add(pair)
+            out[0].append(max(a[2], b[2]))
+            out[1].append(min(a[2], b[2]))
+    return out
+
+
 def _block_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges between different components on open lists of any length.
 
-    The sets outside a list's largest component are held against all of the list: both sides are dealt into blocks of
-    about half a short list, by bands of sizes, and two blocks meet in one task, which gives out the links alone.
+    The sets outside a list's largest component are held against all of the list: both sides are dealt into blocks of at
+    most ``CELL_SETS`` sets and ``CELL_SHINGLES`` shingles or so, by bands of sizes, and two blocks meet in one task, which
+    counts what all their pairs share at once and gives out the links alone.
     """
-    sizes = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
-        F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
-    half = F.lit(SHORT_LIST // 2)
-    dealt = lists.select("token", "cid", "n", "comp").join(sizes, "token").select(
-        "token", "cid", "n", "comp", (F.col("comp") != F.col("top.comp")).alias("out"),
-        F.ceil((F.col("all") - F.col("top.c")) / half).cast("int").alias("outs"),
-        F.ceil(F.col("all") / half).cast("int").alias("alls"),
-        F.floor(F.log("n") / math.log(DEN / NUM)).cast("int").alias("band"), F.xxhash64("cid").alias("h"))
-    left = dealt.where("out").select(
-        "token", "cid", "n", "comp", F.lit(0).alias("side"), F.pmod("h", "outs").cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "band").withColumn(
+    lists = _merged_lists(lists).withColumn("band", F.floor(F.log("n") / math.log(DEN / NUM)).cast("int"))
+    tops = lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).select(
+        "token", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.c")).alias("outs"))
+    room = F.greatest(F.lit(16), F.least(F.lit(CELL_SETS), F.floor(F.lit(CELL_SHINGLES) / F.pow(F.lit(DEN / NUM), "band"))))
+    rooms = lists.groupBy("token", "band").agg(F.count("*").alias("c")).join(tops, "token").select(
+        "token", "band", "top", F.ceil(F.col("outs") / room).cast("int").alias("outs"), F.ceil(F.col("c") / room).cast("int").alias("alls"))
+    outside = lists.join(tops.select("token", "top"), "token").where("comp <> top").drop("top").withColumn(
         "band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-    right = dealt.select(
+    h = F.xxhash64("cid")
+    left = outside.join(rooms, ["token", "band"]).select(
+        "token", "cid", "n", "comp", F.lit(0).alias("side"), F.pmod(h, "outs").cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "band")
+    right = lists.join(rooms, ["token", "band"]).select(
         "token", "cid", "n", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"),
-        F.pmod("h", "alls").cast("int").alias("j"), "band")
+        F.pmod(h, "alls").cast("int").alias("j"), "band")
     cells = left.unionByName(right).join(sets, "cid").select(
         "token", "i", "j", "band", "side", "n", "comp", "cid", "whole")
     names = cells.columns
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
-        cell, held, joined = None, [], set()
+        cell, sides = None, ([], [])
         for batch in rows:
-            out: tuple[list, list] = ([], [])
             for token, i, j, band, side, n, comp, cid, whole in zip(*[batch[c] for c in names]):
                 if (token, i, j, band) != cell:
-                    cell, held = (token, i, j, band), []
-                mine = np.frombuffer(whole, np.uint64)
-                if side == 0:
-                    held.append((n, comp, cid, mine))
-                    continue
-                for n_b, comp_b, cid_b, theirs in held:
-                    if comp == comp_b or DEN * min(n, n_b) < NUM * max(n, n_b) or (comp, comp_b) in joined:
-                        continue
-                    if len(np.intersect1d(mine, theirs, assume_unique=True)) >= needed(n, n_b):
-                        joined |= {(comp, comp_b), (comp_b, comp)}
-                        out[0].append(max(cid, cid_b))
-                        out[1].append(min(cid, cid_b))
-            yield out
+                    if all(sides):
+                        yield _met(*sides)
+                    cell, sides = (token, i, j, band), ([], [])
+                sides[side].append((n, comp, cid, np.frombuffer(whole, np.uint64)))
+        if all(sides):
+            yield _met(*sides)
 
     placed = cells.repartition("token", "i", "j", "band").sortWithinPartitions("token", "i", "j", "band", "side")
     return map_columns(placed, run, "a long, b long").distinct()
